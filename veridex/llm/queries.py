@@ -5,14 +5,63 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veridex.llm import packing
+from veridex.llm import impact_search, media, packing, pii, quality, sentencepiece_codec, warc
 from veridex.llm.common import table
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.texts_as_audio(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search_table(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op7_packing": op7_packing}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_columns, op5_exact_topk, op6_warc, op7_packing, op8_quality, op9_sentencepiece, op10_pii)}
 
-ORACLE: dict[str, str] = {}
+# DuckDB SQL where SQL can express the rows. Files and floating-point models have none and are tested by brute force.
+ORACLE: dict[str, str] = {
+    "op5_exact_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and vec_id is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), pairs as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+            from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+        ), ranked as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from pairs
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 5""",
+    "op6_warc": """
+        with p as (
+            select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+        ), k as (
+            select payload_digest, max(page_id) as last_id from p where payload_bytes >= 1000 group by payload_digest
+        )
+        select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes, p.payload_digest,
+               case when k.last_id > p.page_id then 'revisit' else 'response' end as record_type,
+               case when k.last_id > p.page_id then k.last_id end as refers_to
+        from p left join k on p.payload_digest = k.payload_digest and p.payload_bytes >= 1000""",
+}
