@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veridex.llm import impact_search, media, packing, pii, quality, sentencepiece_codec, warc
+from veridex.llm import impact_search, line_dedup, media, ngram_join, packing, pii, quality, sentencepiece_codec, warc
 from veridex.llm.common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_audio(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.search_table(table(spark, sf_dir, "embeddings"))
 
@@ -37,10 +45,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op5_exact_topk, op6_warc, op7_packing, op8_quality, op9_sentencepiece, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_columns, op4_ngram_jaccard, op5_exact_topk, op6_warc, op7_packing, op8_quality, op9_sentencepiece, op10_pii)}
 
 # DuckDB SQL where SQL can express the rows. Files and floating-point models have none and are tested by brute force.
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op5_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
