@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from veridex.llm import line_dedup, ngram_join, packing, pii, quality
 from veridex.llm.common import stage, table
 
-STAGES: list = []
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject as low in quality or toxic."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
+    return judged.where("not rejected").select(*docs.columns)
+
+
+def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the later copies of repeated line runs."""
+    return line_dedup.remove_repeated_runs(docs).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least doc_id, of each group of equal or similar ones."""
+    return ngram_join.one_of_each(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by their kind."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids, packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("line_dedup", delete_repeated_lines),
+    ("near_copies", keep_one_of_near_copies),
+    ("pii", redact_personal_data),
+    ("packing", pack),
+]
 
 #: The last stage packs token ids, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -94,7 +94,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for j, level in enumerate(levels[1:], 1):
         ranks = ranks.unionByName(level.withColumn("k", F.lit(1 << j)))
     # the largest power of two up to n
-    sized = windows.withColumn("k", F.shiftleft(F.lit(1), F.floor(F.log2(F.col("n") + 0.5)).cast("int")))
+    sized = windows.withColumn("k", F.expr("shiftleft(1, cast(floor(log2(n + 0.5)) as int))"))
     sized = sized.join(ranks.withColumnRenamed("rank", "r1"), [*_ROW, "ln", "k"])
     ends = ranks.select(*_ROW, "k", F.col("ln").alias("mid"), F.col("rank").alias("r2"))
     named = stage(sized.withColumn("mid", F.col("last") - F.col("k") + 1).join(ends, [*_ROW, "k", "mid"]).select(*_ROW, "ln", "last", "n", "r1", "r2"), "intervals")

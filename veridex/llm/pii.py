@@ -28,7 +28,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Looser patterns that only nominate candidates.
@@ -199,14 +198,16 @@ def probability(weights: dict[tuple, float], pattern: tuple) -> float:
 
 
 def vote_counts(docs: DataFrame) -> dict[tuple, int]:
-    """Joint counts of votes and features over all candidates of all documents: at most a few thousand patterns."""
+    """Joint counts of votes and features over all base spans and candidates of all documents: at most a few thousand patterns."""
 
     def run(batches):
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                if (t := text.as_py()) and (others := candidates(t)[1]):
+                if t := text.as_py():
+                    base, others = candidates(t)
                     seen.update(p for _, p in others)
+                    seen.update(_votes(t, k, *span, True) for k, spans in base.items() for span in spans)
         if seen:
             columns = [*zip(*seen), tuple(seen.values())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if isinstance(c[0], str) else pa.array(c, pa.int64()) for c in columns], names)
@@ -252,7 +253,10 @@ def find(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
 
 
 def redact(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets; overlapping spans become one. Null stays null."""
+    """docs with every span replaced by its kind in angle brackets; overlapping spans become one. Null stays null.
+
+    n_chars, if there is one, follows the new text.
+    """
     weights = train(vote_counts(docs))
     at = docs.columns.index("text")
 
@@ -271,4 +275,5 @@ def redact(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
                 texts.append("".join([*out, text[end:]]) if every else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veridex.llm import impact_search, line_dedup, media, ngram_join, packing, pii, quality, sentencepiece_codec, warc
+from veridex.llm import impact_search, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sentencepiece_codec, warc
 from veridex.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_against_good(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_columns, op4_ngram_jaccard, op5_exact_topk, op6_warc, op7_packing, op8_quality, op9_sentencepiece, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_media_columns, op4_ngram_jaccard, op5_exact_topk, op6_warc, op7_packing, op8_quality, op9_sentencepiece, op10_pii)}
 
 # DuckDB SQL where SQL can express the rows. Files and floating-point models have none and are tested by brute force.
 ORACLE: dict[str, str] = {
