@@ -54,7 +54,7 @@ SQL: dict[str, tuple[str, str]] = {
     "proj_case": ("SELECT part_key, CASE WHEN size > 25 THEN 'large' ELSE 'small' END AS class FROM parts", "select p_partkey as part_key, case when p_size > 25 then 'large' else 'small' end as class from part"),
     "proj_coalesce": ("SELECT cust_key, COALESCE(NULLIF(segment, 'BUILDING'), 'none') AS seg FROM customers", "select c_custkey as cust_key, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as seg from customer"),
     "proj_concat": ("SELECT brand || '/' || part_type AS kind, UPPER(part_name) AS title FROM parts", "select p_brand || '/' || p_type as kind, upper(p_name) as title from part"),
-    "proj_arith": ("SELECT order_key, line_no, ROUND(gross * (1 + tax) / NULLIF(quantity, 0), 2) AS unit_gross FROM sales WHERE order_key < 1000", "select l_orderkey as order_key, cast(l_linenumber as bigint) as line_no, round(l_extendedprice * (1 + l_tax) / nullif(l_quantity, 0), 2) as unit_gross from lineitem where l_orderkey < 1000"),
+    "proj_arith": ("SELECT order_key, line_no, gross * (1 + tax) - quantity AS unit_gross FROM sales WHERE order_key < 1000", "select l_orderkey as order_key, cast(l_linenumber as bigint) as line_no, round(l_extendedprice * (1 + l_tax) - l_quantity, 4) as unit_gross from lineitem where l_orderkey < 1000"),
     "proj_cast": ("SELECT part_key, CAST(retail_price AS INTEGER) AS whole, CAST(size AS STRING) AS size_text FROM parts", "select p_partkey as part_key, cast(trunc(p_retailprice) as bigint) as whole, cast(p_size as varchar) as size_text from part"),
     "proj_literal": ("SELECT 1 AS one, 'x' AS letter, region_name FROM regions", "select cast(1 as bigint) as one, 'x' as letter, r_name as region_name from region"),
     "proj_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM activity", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events"),
@@ -62,7 +62,7 @@ SQL: dict[str, tuple[str, str]] = {
     "filter_and": ("SELECT order_key, line_no FROM sales WHERE quantity > 45 AND (return_flag = 'R' OR NOT line_status = 'O')", "select l_orderkey as order_key, cast(l_linenumber as bigint) as line_no from lineitem where l_quantity > 45 and (l_returnflag = 'R' or not l_linestatus = 'O')"),
     "filter_in": ("SELECT cust_key FROM customers WHERE segment IN ('BUILDING', 'MACHINERY')", "select c_custkey as cust_key from customer where c_mktsegment in ('BUILDING', 'MACHINERY')"),
     "filter_between": ("SELECT part_key FROM parts WHERE size BETWEEN 10 AND 20", "select p_partkey as part_key from part where p_size between 10 and 20"),
-    "filter_like": ("SELECT part_key, part_name FROM parts WHERE part_name LIKE '%1%'", "select p_partkey as part_key, p_name as part_name from part where p_name like '%1%'"),
+    "filter_like": ("SELECT part_key, part_name FROM parts WHERE part_name LIKE '%ring%'", "select p_partkey as part_key, p_name as part_name from part where p_name like '%ring%'"),
     "filter_isnull": ("SELECT o.order_key FROM orders o LEFT JOIN sales s ON o.order_key = s.order_key WHERE s.line_no IS NULL", "select o_orderkey as order_key from orders left join lineitem on o_orderkey = l_orderkey where l_linenumber is null"),
     "filter_time": ("SELECT order_key FROM orders WHERE order_date >= TIMESTAMP_NTZ '1996-01-01' AND order_year < 1998", "select o_orderkey as order_key from orders where o_orderdate >= timestamp '1996-01-01' and year(o_orderdate) < 1998"),
     "distinct_dim": ("SELECT DISTINCT priority FROM orders", "select distinct o_orderpriority as priority from orders"),
@@ -82,7 +82,7 @@ SQL: dict[str, tuple[str, str]] = {
     "semi_in": ("SELECT cust_key FROM customers WHERE cust_key IN (SELECT cust_key FROM orders WHERE total_price > 300000)", "select c_custkey as cust_key from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)"),
     "semi_exists": ("SELECT o.order_key FROM orders o WHERE EXISTS (SELECT 1 FROM sales s WHERE s.order_key = o.order_key AND s.quantity = 50)", "select o_orderkey as order_key from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity = 50)"),
     "anti_not_exists": ("SELECT o.order_key FROM orders o WHERE NOT EXISTS (SELECT 1 FROM sales s WHERE s.order_key = o.order_key)", "select o_orderkey as order_key from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)"),
-    "anti_not_in": ("SELECT cust_key FROM customers WHERE cust_key NOT IN (SELECT cust_key FROM orders)", "select c_custkey as cust_key from customer where c_custkey not in (select o_custkey from orders)"),
+    "anti_not_in": ("SELECT cust_key FROM customers WHERE cust_key NOT IN (SELECT cust_key FROM orders WHERE total_price > 250000)", "select c_custkey as cust_key from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 250000)"),
     # metrics
     "metric_total": ("SELECT net_revenue, units FROM sales", "select round(sum(l_extendedprice * (1 - l_discount)), 4) as net_revenue, round(sum(l_quantity), 4) as units from lineitem"),
     "metric_by_dim": ("SELECT return_flag, net_revenue FROM sales GROUP BY return_flag", "select l_returnflag as return_flag, round(sum(l_extendedprice * (1 - l_discount)), 4) as net_revenue from lineitem group by all"),
@@ -128,10 +128,10 @@ SQL: dict[str, tuple[str, str]] = {
     "union_distinct": ("SELECT nation_key FROM customers UNION SELECT nation_key FROM suppliers", "select cast(c_nationkey as bigint) as nation_key from customer union select s_nationkey from supplier"),
     "union_metric": ("SELECT 'line' AS what, net_revenue AS amount FROM sales UNION ALL SELECT 'event', event_value FROM activity", "select 'line' as what, round(sum(l_extendedprice * (1 - l_discount)), 4) as amount from lineitem union all select 'event', round(sum(value), 4) from events"),
     "intersect": ("SELECT nation_key FROM customers WHERE balance > 9000 INTERSECT SELECT nation_key FROM suppliers", "select cast(c_nationkey as bigint) as nation_key from customer where c_acctbal > 9000 intersect select s_nationkey from supplier"),
-    "except": ("SELECT cust_key FROM customers EXCEPT SELECT cust_key FROM orders", "select c_custkey as cust_key from customer except select o_custkey from orders"),
+    "except": ("SELECT cust_key FROM customers EXCEPT SELECT cust_key FROM orders WHERE total_price > 150000", "select c_custkey as cust_key from customer except select o_custkey from orders where o_totalprice > 150000"),
     "setop_chain3": ("(SELECT part_key FROM parts WHERE size < 10 UNION SELECT part_key FROM parts WHERE size > 40) EXCEPT SELECT part_key FROM sales WHERE quantity > 49", "(select p_partkey as part_key from part where p_size < 10 union select p_partkey from part where p_size > 40) except select l_partkey from lineitem where l_quantity > 49"),
     # subqueries
-    "sub_scalar_where": ("SELECT order_key FROM orders WHERE total_price > (SELECT AVG(total_price) * 2 FROM orders)", "select o_orderkey as order_key from orders where o_totalprice > (select avg(o_totalprice) * 2 from orders)"),
+    "sub_scalar_where": ("SELECT order_key FROM orders WHERE total_price > (SELECT AVG(total_price) * 1.5 FROM orders)", "select o_orderkey as order_key from orders where o_totalprice > (select avg(o_totalprice) * 1.5 from orders)"),
     "sub_scalar_select": ("SELECT region_name, (SELECT COUNT(*) FROM nations) AS n FROM regions", "select r_name as region_name, (select count(*) from nation) as n from region"),
     "sub_scalar_metric": ("SELECT return_flag, line_count, (SELECT line_count FROM sales) AS every FROM sales GROUP BY return_flag", "select l_returnflag as return_flag, count(*) as line_count, (select count(*) from lineitem) as every from lineitem group by all"),
     "sub_correlated": ("SELECT c.cust_key, (SELECT MAX(o.total_price) FROM orders o WHERE o.cust_key = c.cust_key) AS best FROM customers c", "select c_custkey as cust_key, round((select max(o_totalprice) from orders where o_custkey = c_custkey), 4) as best from customer"),
@@ -158,3 +158,13 @@ ORACLE = {name: sql for name, (_, sql) in SQL.items()} | {
     "auto_join_query": "select r_name as region_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as net_revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all",
     "auto_join_filter": "select o_orderpriority as priority, p_brand as brand, round(sum(l_extendedprice * (1 - l_discount)), 4) as net_revenue, count(distinct o_orderkey) as order_count from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where p_size > 40 group by all having count(distinct o_orderkey) > 3",
 }
+
+
+def _extend() -> None:
+    from veridex.plans import catalogue_more
+
+    QUERIES.update(catalogue_more.QUERIES)
+    ORACLE.update(catalogue_more.ORACLE)
+
+
+_extend()
