@@ -7,18 +7,19 @@ estimated cost of its candidates: postings to read, and candidates to verify, wh
 
 1. One pass counts all shingles in a sketch of fixed size. It decides the order and the costs, never the result.
 2. Equal sets become one class. Each class emits its prefix.
-3. First round: in each posting list every class meets the smallest class only (a grouped minimum, so a token that
-   a third of all classes share is no hot key). Verified pairs make first components.
-4. Second round: classes that share a token and lie in different components meet each other. Pairs that share
-   enough tokens and whose positions still allow the overlap are verified. What lies in one component already
-   needs no link more, so a large group of near copies doesn't cost the square of its size.
+3. Classes whose prefix shares too few tokens with any other go. First rounds: in each posting list every class
+   meets one central class only (a grouped minimum, so a token that a third of all classes share is no hot key),
+   then every component's centre meets one. Verified pairs make components.
+4. Last round: classes that share a token and lie in different components meet each other, as far as the places of
+   the token allow enough overlap. Pairs that share enough tokens are verified. What lies in one component already
+   needs no more links, so a large group of similar copies doesn't cost the square of its size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridex.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, mix, release, shingles, stage, steps, utf8
@@ -28,6 +29,8 @@ SKETCH, BLOCKS = 1 << 22, 16
 FILTER_BITS = 1 << 26
 #: Cost of verifying one candidate, in postings read.
 VERIFY_COST = 32.0
+#: Postings that a token costs at least, as the sketch can't see less.
+UNSEEN_COST = 0.3
 
 
 # --- tables of fixed size, summed over tasks ---------------------------------------------
@@ -99,13 +102,18 @@ def needed(n):
     return (SIMILARITY_PERCENT * n + 99) // 100
 
 
+def least_asked(n):
+    """Shared tokens that every document of n shingles asks for at least."""
+    return np.maximum(1, n // 16)
+
+
 def choose(costs: np.ndarray) -> int:
     """The number of shared tokens m to ask for, given the estimated postings of each token of the ordered set."""
     n = len(costs)
     room = n - int(needed(n))
-    total = np.cumsum(costs)
-    best, least = 1, np.inf
-    m = 1
+    total = np.cumsum(np.maximum(costs, UNSEEN_COST))
+    m = best = int(least_asked(n))
+    least = np.inf
     while room + m <= n:
         read = total[room + m - 1]
         cost = room + m + read + VERIFY_COST * read / m
@@ -236,6 +244,37 @@ def components(links: DataFrame) -> DataFrame:
 # --- the join ----------------------------------------------------------------------------
 
 
+def _alike(a: str, b: str):
+    """Whether sizes allow a link."""
+    return (F.col(a) * 100 >= F.col(b) * SIMILARITY_PERCENT) & (F.col(b) * 100 >= F.col(a) * SIMILARITY_PERCENT)
+
+
+def _placed(met: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return met.withColumn("comp", F.col("cid"))
+    return met.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+
+def _able(postings: DataFrame, rounds: int = 2) -> DataFrame:
+    """The postings of classes that can still link: token, cid, n, m, pos, sr (shared tokens before), u (others up to the last).
+
+    Two linked sets share at least m tokens of their m-prefixes, m being the lesser of what they ask for. So a
+    class needs, for some m from the least that a partner may ask for up to its own, m shared tokens in its
+    m-prefix. Classes without go, which leaves fewer tokens shared, and so again.
+    """
+    room = F.col("n") - F.floor((SIMILARITY_PERCENT * F.col("n") + 99) / 100)
+    partner = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * SIMILARITY_PERCENT / 100) / 16))
+    for _ in range(rounds):
+        shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+        met = postings.join(shared, "token")
+        own = Window.partitionBy("cid")
+        met = met.withColumn("sr", F.row_number().over(own.orderBy("pos")) - 1)
+        good = (F.col("sr") + 1).between(partner, F.col("m")) & (F.col("pos") < room + F.col("sr") + 1)
+        met = met.withColumns({"u": F.max(F.col("pos") - F.col("sr")).over(own), "_ok": F.max(good).over(own)}).where("_ok").drop("_ok")
+        postings = stage(met.select("token", "cid", "n", "m", "pos", "sr", "u"), "met")
+    return postings
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, class_id (equal sets) and links (of its class, all verified).
 
@@ -248,38 +287,44 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     classes = stage(sets.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     kept = sets.where("n > 0").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
     postings = stage(kept.select(F.col("rid").alias("cid"), F.col("n").cast("int").alias("n"), "m", F.posexplode("prefix").alias("pos", "token")), "postings")
-    shared = postings.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
-    met = stage(postings.join(shared, "token"), "met")
+    met = _able(postings)
     release(postings)
 
-    # first round: with the smallest class of each posting list; half of the guaranteed share is asked for, as a guess
-    sizes = classes.select(F.col("cid").alias("pivot"), F.col("n").alias("pn"))
-    first = met.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    first = first.where("c * 10 >= n").join(sizes, "pivot").where((F.col("n") * 100 >= F.col("pn") * SIMILARITY_PERCENT) & (F.col("pn") * 100 >= F.col("n") * SIMILARITY_PERCENT))
-    tried = stage(first.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), "pairs")
-    links = verified(docs, tried, classes)
-    comps = stage(components(links), "components")
+    # first rounds: each class with the most central one of each posting list, then each component's with the first component's
+    sizes = classes.select("cid", F.col("n").alias("pn"))
+    comps, links, tried = None, None, None
+    for _ in range(2):
+        placed = _placed(met, comps)
+        heads = placed.groupBy("token", "comp").agg(F.min(F.struct("u", "cid")).alias("head"))
+        pivots = heads.groupBy("token").agg(F.min("head").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("token", F.col("pivot.cid").alias("a"))
+        ends = placed if comps is None else heads.select("token", "comp", F.col("head.cid").alias("cid")).join(met.select("token", "cid", "n"), ["token", "cid"])
+        pairs = ends.join(pivots, "token").where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        pairs = pairs.where("c * 16 >= n").join(sizes.withColumnRenamed("cid", "a"), "a").where(_alike("n", "pn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = verified(docs, pairs, classes)
+        tried = pairs if tried is None else stage(tried.union(pairs), "tried")
+        links = found if links is None else stage(links.union(found), "links")
+        comps = stage(components(links), "components")
 
-    # second round: across components
-    placed = met.select("token", "cid", "n", "m", "pos").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    # last round: what is left between components, with all that the places of a shared token allow
+    placed = _placed(met, comps)
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
-    rest = stage(placed.join(open_tokens, "token", "left_semi"), "open")
-    x = rest.select("token", *(F.col(c).alias(f"a_{c}") for c in ("cid", "n", "m", "pos", "comp")))
-    y = rest.select("token", *(F.col(c).alias(f"b_{c}") for c in ("cid", "n", "m", "pos", "comp")))
-    fits = (F.col("a_n") * 100 >= F.col("b_n") * SIMILARITY_PERCENT) & (F.col("b_n") * 100 >= F.col("a_n") * SIMILARITY_PERCENT)
+    rest = _able(placed.join(open_tokens, "token", "left_semi").select("cid", "n", "m", "pos", "token"))
+    rest = stage(_placed(rest, comps), "open")
+    columns = ("cid", "n", "m", "pos", "sr", "comp")
+    x = rest.select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
+    y = rest.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
     # 100 i >= 80 (a + b - i), so i must reach ceil(80 (a + b) / 180)
     least = F.ceil((F.col("a_n") + F.col("b_n")) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT) - 1e-9)
-    crossed = x.join(y, "token").where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp")) & fits)
-    counted = crossed.groupBy("a_cid", "b_cid").agg(
-        F.count("*").alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.first("a_m").alias("a_m"), F.first("b_m").alias("b_m"),
-        # at most as many tokens may follow the last shared one as either set still has
-        F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"),
-    )
-    able = counted.where((F.col("c") >= F.least("a_m", "b_m")) & (F.col("c") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1 >= least))
-    pairs = stage(able.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    # before this token only shared ones can be common, after it no more than either set has left
+    most = F.least("a_sr", "b_sr") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    crossed = x.join(y, "token").where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_n", "b_n") & (most >= least))
+    counted = crossed.groupBy("a_cid", "b_cid").agg(F.count("*").alias("c"), F.first("a_m").alias("a_m"), F.first("b_m").alias("b_m"))
+    pairs = counted.where(F.col("c") >= F.least("a_m", "b_m")).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
+    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     release(met, rest)
     if not pairs.isEmpty():
-        links = stage(links.unionByName(verified(docs, pairs, classes)), "links")
+        links = stage(links.union(verified(docs, pairs, classes)), "links")
         comps = stage(components(links), "components")
 
     member = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
