@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridex.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, mix, release, shingles, stage, steps, utf8
+from veridex.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, mix, release, shingles, small, stage, steps, utf8
 
 #: Counters of the sketch and bits of the filter: 4 MB and 8 MB at any size of input.
 SKETCH, BLOCKS = 1 << 22, 16
@@ -190,10 +190,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["fp1", "fp2", "n"]).dropDuplicates(["cid"]).select("cid", "set")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs a, b of classes those that link by exact intersection of their sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = stage(_sets(docs, stage(classes.join(ends, "cid", "left_semi").select("cid", "fp1", "fp2", "n"), "wanted")), "sets")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
 
     def run(batches):
@@ -205,9 +203,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
                 keep.append(100 * both >= SIMILARITY_PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-    release(sets)
-    return out
+    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 # --- components --------------------------------------------------------------------------
@@ -264,6 +260,7 @@ def _able(postings: DataFrame, rounds: int = 2) -> DataFrame:
     """
     room = F.col("n") - F.floor((SIMILARITY_PERCENT * F.col("n") + 99) / 100)
     partner = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * SIMILARITY_PERCENT / 100) / 16))
+    before = None
     for _ in range(rounds):
         shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").drop("k")
         met = postings.join(shared, "token")
@@ -272,6 +269,8 @@ def _able(postings: DataFrame, rounds: int = 2) -> DataFrame:
         good = (F.col("sr") + 1).between(partner, F.col("m")) & (F.col("pos") < room + F.col("sr") + 1)
         met = met.withColumns({"u": F.max(F.col("pos") - F.col("sr")).over(own), "_ok": F.max(good).over(own)}).where("_ok").drop("_ok")
         postings = stage(met.select("token", "cid", "n", "m", "pos", "sr", "u"), "met")
+        release(*[before] * (before is not None))
+        before = postings
     return postings
 
 
@@ -283,12 +282,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     never names a component unless all its members' are null. Other columns are not read.
     links counts the links that were looked at; within a component more may hold.
     """
-    sets = stage(prefixes(docs, shingle_classes(docs)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
-    classes = stage(sets.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    kept = sets.where("n > 0").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
-    postings = stage(kept.select(F.col("rid").alias("cid"), F.col("n").cast("int").alias("n"), "m", F.posexplode("prefix").alias("pos", "token")), "postings")
-    met = _able(postings)
-    release(postings)
+    prefixed = stage(prefixes(docs, shingle_classes(docs)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+    rows = stage(prefixed.drop("prefix", "m"), "rows")
+    classes = stage(rows.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    copies = stage(rows.join(classes.where("copies > 1"), ["fp1", "fp2", "n"]).where("rid <> cid").select("rid"), "copies")
+    kept = prefixed.where("n > 0").join(small(copies), "rid", "left_anti")
+    met = _able(kept.select(F.col("rid").alias("cid"), F.col("n").cast("int").alias("n"), "m", F.posexplode("prefix").alias("pos", "token")))
+    release(prefixed)
+    wanted = stage(classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", "fp1", "fp2", "n"), "wanted")
+    sets = stage(_sets(docs, wanted), "sets")
 
     # first rounds: each class with the most central one of each posting list, then each component's with the first component's
     sizes = classes.select("cid", F.col("n").alias("pn"))
@@ -301,7 +303,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         pairs = ends.join(pivots, "token").where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
         pairs = pairs.where("c * 16 >= n").join(sizes.withColumnRenamed("cid", "a"), "a").where(_alike("n", "pn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = verified(docs, pairs, classes)
+        found = verified(pairs, sets)
         tried = pairs if tried is None else stage(tried.union(pairs), "tried")
         links = found if links is None else stage(links.union(found), "links")
         comps = stage(components(links), "components")
@@ -324,21 +326,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     release(met, rest)
     if not pairs.isEmpty():
-        links = stage(links.union(verified(docs, pairs, classes)), "links")
+        links = stage(links.union(verified(pairs, sets)), "links")
         comps = stage(components(links), "components")
 
     member = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     named = member.join(member.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
     named = named.join(degree, "cid", "left").select("fp1", "fp2", "n", F.col("cid").alias("class_id"), "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    rows = sets.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
+    rows = rows.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that link, directly or over others, to a document with a smaller doc_id."""
-    from veridex.llm.common import small
-
     drop = stage(similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "drop")
     return docs.join(small(drop), "doc_id", "left_anti").select(*docs.columns)
 
