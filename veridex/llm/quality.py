@@ -32,11 +32,16 @@ _CLASS[list(b"|#$%&*<>{}[]~^\\=@_"), 1] = 1
 _CLASS[list(b"!?.,;:'\"()-/"), 2] = 1
 _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3] = 1
 SHAPES = 8
+#: Punctuation parts words here; the shape features count it.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = 32
+#: Standard errors by which a word's share must differ between the classes to be a feature.
+SIGNIFICANT = 4.0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, bucket, shape): each document's distinct word buckets (CSR) and its row of shape features."""
-    h, length, first = words(data, offsets)
+    h, length, first = words(_PLAIN[data], offsets)
     docs = len(offsets) - 1
     count = np.diff(first)
     doc = np.repeat(np.arange(docs, dtype=np.int64), count)
@@ -68,37 +73,46 @@ class Model:
         return sums[first[1:]] - sums[first[:-1]] + ((shape - self.mean) / self.scale) @ self.shape
 
 
-def fit(first: np.ndarray, bucket: np.ndarray, shape: np.ndarray, labels: np.ndarray, rounds: int = 120, l2: float = 2e-4) -> Model | None:
-    """Logistic regression with adaptive steps on word presence and shape; None without rows."""
+def fit(first: np.ndarray, bucket: np.ndarray, shape: np.ndarray, labels: np.ndarray, rounds: int = 400, l2: float = 1e-5) -> Model | None:
+    """Logistic regression with adaptive steps on shape and on the presence of significant words; None without rows.
+
+    Most words differ between the classes by chance only, and there are more of them than rows. So a head's words
+    are those whose share of bad and of good documents differs by SIGNIFICANT standard errors and in 5 documents.
+    """
     n = len(labels)
     if not n:
         return None
     mean, scale = shape.mean(0), shape.std(0) + 1e-9
     mean[-1], scale[-1] = 0.0, 1.0
     x = (shape - mean) / scale
-    used, at = np.unique(bucket, return_inverse=True)
-    seen = np.bincount(at, minlength=len(used))
     doc = np.repeat(np.arange(n), np.diff(first))
-    keep = seen[at] >= 3  # a word of one or two documents tells nothing
-    at, doc = at[keep], doc[keep]
-    word, dense = np.zeros((len(used), len(HEADS))), np.zeros((SHAPES, len(HEADS)))
+    full, dense = np.zeros((BUCKETS, len(HEADS)), np.float32), np.zeros((SHAPES, len(HEADS)))
+    seen = np.bincount(bucket, minlength=BUCKETS)
     for k in range(len(HEADS)):
         y = labels[:, k].astype(float)
-        rate = (y.sum() + 0.5) / (n + 1)
+        bad, rate = y.sum(), (y.sum() + 0.5) / (n + 1)
+        hits = np.bincount(bucket, y[doc], BUCKETS)
+        share = (seen + 1) / (n + 2)
+        error = np.sqrt(share * (1 - share) * (1 / max(bad, 1) + 1 / max(n - bad, 1)))
+        gap = hits / max(bad, 1) - (seen - hits) / max(n - bad, 1)
+        used = np.flatnonzero((np.abs(gap) >= SIGNIFICANT * error) & (seen >= 5))
+        place = np.full(BUCKETS, -1)
+        place[used] = np.arange(len(used))
+        at = place[bucket]
+        keep = at >= 0
+        at, own = at[keep], doc[keep]
         w, v = np.zeros(len(used)), np.zeros(SHAPES)
         v[-1] = np.log(rate / (1 - rate))
         gw, gv = np.full(len(used), 1e-7), np.full(SHAPES, 1e-7)
         for _ in range(rounds):
-            z = np.bincount(doc, w[at], n) + x @ v
+            z = np.bincount(own, w[at], n) + x @ v
             r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            dw, dv = np.bincount(at, r[doc], len(used)) + l2 * w, x.T @ r
+            dw, dv = np.bincount(at, r[own], len(used)) + l2 * w, x.T @ r
             gw += dw * dw
             gv += dv * dv
             w -= 0.3 * dw / np.sqrt(gw)
             v -= 0.3 * dv / np.sqrt(gv)
-        word[:, k], dense[:, k] = w, v
-    full = np.zeros((BUCKETS, len(HEADS)), np.float32)
-    full[used] = word
+        full[used, k], dense[:, k] = w, v
     return Model(full, dense, mean, scale)
 
 
