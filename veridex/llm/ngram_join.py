@@ -11,7 +11,8 @@ estimated cost of its candidates: postings to read, and candidates to verify, wh
    meets one central class only (a grouped minimum, so a token that a third of all classes share is no hot key),
    then every component's centre meets one. Verified pairs make components.
 4. Last round: classes that share a token and lie in different components meet each other, as far as the places of
-   the token allow enough overlap. Pairs that share enough tokens are verified. What lies in one component already
+   the token allow enough overlap and parities of the whole sets show no greater difference than a link allows.
+   Pairs that share enough tokens are verified. What lies in one component already
    needs no more links, so a large group of similar copies doesn't cost the square of its size.
 """
 
@@ -31,6 +32,9 @@ FILTER_BITS = 1 << 26
 VERIFY_COST = 32.0
 #: Postings that a token costs at least, as the sketch can't see less.
 UNSEEN_COST = 0.3
+#: 64-bit numbers of parities per set.
+PARITIES = 8
+_PARITY_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
 # --- tables of fixed size, summed over tasks ---------------------------------------------
@@ -130,11 +134,18 @@ def _fingerprints(u: np.ndarray) -> tuple[int, int]:
         return int(np.add.reduce(a).astype(np.int64)), int(np.add.reduce(b).astype(np.int64))
 
 
+def _parities(u: np.ndarray) -> list[int]:
+    """512 parities of the set, as 8 numbers: every element in one set alone flips one bit, so two sets differ in at least as many elements as bits."""
+    odd = np.bincount((mix(u + _PARITY_SEED) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n (set size), fp1, fp2, m and its prefix in the global order; an empty set has no prefix."""
+    """Per document: doc_id, n (set size), fp1, fp2, m, its prefix in the global order and p0 to p7, its parities; an empty set has no prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
-    names = ["doc_id", "n", "fp1", "fp2", "m", "prefix"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    extra = [f"p{k}" for k in range(PARITIES)]
+    names = ["doc_id", "n", "fp1", "fp2", "m", "prefix", *extra]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * PARITIES]
 
     def run(batches):
         table = shared.value
@@ -144,16 +155,16 @@ def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             for k, doc_id in enumerate(ids.to_pylist()):
                 u = np.unique(s[first[k] : first[k + 1]])
                 if not len(u):
-                    rows.append((doc_id, 0, 0, 0, 0, None))
+                    rows.append((doc_id, 0, 0, 0, 0, None, *[0] * PARITIES))
                     continue
                 rank = table[(u & np.uint64(SKETCH - 1)).astype(np.int64)]
                 order = np.argsort(rank, kind="stable")
                 m = choose(np.exp2(rank[order].astype(np.float64)) - 1)
-                rows.append((doc_id, len(u), *_fingerprints(u), m, u[order[: len(u) - int(needed(len(u))) + m]].view(np.int64)))
+                rows.append((doc_id, len(u), *_fingerprints(u), m, u[order[: len(u) - int(needed(len(u))) + m]].view(np.int64), *_parities(u)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, m int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, m int, prefix array<long>, " + ", ".join(f"{c} long" for c in extra))
 
 
 # --- verification ------------------------------------------------------------------------
@@ -312,15 +323,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     placed = _placed(met, comps)
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
     rest = _able(placed.join(open_tokens, "token", "left_semi").select("cid", "n", "m", "pos", "token"))
-    rest = stage(_placed(rest, comps), "open")
-    columns = ("cid", "n", "m", "pos", "sr", "comp")
+    extra = [f"p{k}" for k in range(PARITIES)]
+    rest = stage(_placed(rest, comps).join(rows.select(F.col("rid").alias("cid"), *extra), "cid"), "open")
+    columns = ("cid", "n", "m", "pos", "sr", "comp", *extra)
     x = rest.select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
     y = rest.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
     # 100 i >= 80 (a + b - i), so i must reach ceil(80 (a + b) / 180)
     least = F.ceil((F.col("a_n") + F.col("b_n")) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT) - 1e-9)
     # before this token only shared ones can be common, after it no more than either set has left
     most = F.least("a_sr", "b_sr") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    crossed = x.join(y, "token").where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_n", "b_n") & (most >= least))
+    # linked sets differ in at most a + b - 2 i elements, and in at least as many as their parities do
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in extra[1:]), F.bit_count(F.col(f"a_{extra[0]}").bitwiseXOR(F.col(f"b_{extra[0]}"))))
+    able = (most >= least) & (apart <= F.col("a_n") + F.col("b_n") - 2 * least)
+    crossed = x.join(y, "token").where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_n", "b_n") & able)
     counted = crossed.groupBy("a_cid", "b_cid").agg(F.count("*").alias("c"), F.first("a_m").alias("a_m"), F.first("b_m").alias("b_m"))
     pairs = counted.where(F.col("c") >= F.least("a_m", "b_m")).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
     pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
