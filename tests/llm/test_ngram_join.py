@@ -130,3 +130,35 @@ def test_words_and_shingles_match_plain_python():
     assert [len(set(s[at[k] : at[k + 1]].tolist())) for k in range(len(texts))] == [len(shingle_set(t)) for t in texts]
     every = Counter(x for t in texts for x in shingle_set(t))
     assert len(set(s.tolist())) == len(every)
+
+
+def brute_links(texts):
+    """Of every row, how many different sets its set links to."""
+    every = {frozenset(shingle_set(t)) for t in texts} - {frozenset()}
+    linked = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
+    return [sum(linked(frozenset(shingle_set(t)), s) for s in every) for t in texts]
+
+
+def test_every_link_of_a_component_counts(spark):
+    texts = near_copies(1, 200, 40, 3) + near_copies(7, 60, 30, 2) + ["a b c d e f", "alone with its own words here", ""]
+    got = {r.doc_id: r.links for r in ngram_join.similar_groups(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_links(texts) and max(got.values()) >= 20
+
+
+def test_links_over_blocks(spark, monkeypatch):
+    """A component of many bands and blocks: texts that grow by a few words."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", 900)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 6)
+    words = [f"g{k}" for k in range(160)]
+    texts = [" ".join(words[:n]) for n in range(10, 160, 2)] + near_copies(3, 150, 25, 3)
+    got = {r.doc_id: r.links for r in ngram_join.similar_groups(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_links(texts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_overlaps(seed):
+    rng = np.random.default_rng(seed)
+    incidence = [rng.random((n, 300)) < rng.random(300) ** 4 * 0.5 for n in (70, 90)]
+    (x_row, x), (y_row, y) = (np.nonzero(m) for m in incidence)
+    a, b = (m.astype(int) for m in incidence)
+    assert (ngram_join._overlaps(x, x_row, 70, y, y_row, 90, 300) == a @ b.T).all()

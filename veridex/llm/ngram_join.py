@@ -13,12 +13,15 @@ estimated cost of its candidates: postings to read, and candidates to verify, wh
 4. Last round: classes that share a token and lie in different components meet each other, as far as the places of
    the token allow enough overlap and parities of the whole sets show no greater difference than a link allows.
    Pairs that share enough tokens are verified. What lies in one component already
-   needs no more links, so a large group of similar copies doesn't cost the square of its size.
+   needs no more links for that.
+5. Every link joins two classes of one component, so all pairs of a component, dealt in pairs of blocks, are
+   intersected exactly by counting shared tokens; a class's links are counted there, and no pair is written out.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,10 @@ VERIFY_COST = 32.0
 UNSEEN_COST = 0.3
 #: 64-bit numbers of parities per set.
 PARITIES = 8
+#: Set elements and classes that a block of a component holds on average at most.
+BLOCK_ELEMENTS, BLOCK_CLASSES = 1_000_000, 2_000
+#: Sizes of linked sets lie in one band or in two that follow each other, as 1.26 > 1 / 0.8.
+BAND = 1.26
 _PARITY_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -248,6 +255,98 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
 
 
+# --- all links of a component --------------------------------------------------------------
+
+
+def _overlaps(x: np.ndarray, x_row: np.ndarray, nx: int, y: np.ndarray, y_row: np.ndarray, ny: int, tokens: int) -> np.ndarray:
+    """Shared tokens of each of nx sets with each of ny: frequent tokens by a matrix product, the others pair by pair."""
+    out = np.zeros(nx * ny, np.int32)
+    cx, cy = np.bincount(x, minlength=tokens), np.bincount(y, minlength=tokens)
+    work = cx * cy
+    dense = np.flatnonzero(work * 200 > nx * ny)
+    place = np.full(tokens, -1)
+    place[dense] = np.arange(len(dense))
+    for k in range(0, len(dense), 1024):
+        a, b = (np.zeros((n, min(1024, len(dense) - k)), np.float32) for n in (nx, ny))
+        for m, at, row in ((a, place[x] - k, x_row), (b, place[y] - k, y_row)):
+            use = (at >= 0) & (at < m.shape[1])
+            m[row[use], at[use]] = 1
+        out += (a @ b.T).astype(np.int32).ravel()
+    rare = (work > 0) & (place < 0)
+    x_order = np.argsort(x, kind="stable")
+    first = np.concatenate([[0], np.cumsum(cx)])
+    use = np.flatnonzero(rare[y])
+    ends = np.cumsum(cx[y[use]])
+    k = 0
+    while k < len(use):
+        done = ends[k - 1] if k else 0
+        j = max(k + 1, int(np.searchsorted(ends, done + 4_000_000, "right")))
+        part = use[k:j]
+        n = cx[y[part]]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[y[part]], n)
+        # every pair counts once per shared token
+        keys, found = np.unique(x_row[x_order[at]] * ny + np.repeat(y_row[part], n), return_counts=True)
+        out[keys] += found.astype(np.int32)
+        k = j
+    return out.reshape(nx, ny)
+
+
+def _degrees(group: pd.DataFrame) -> pd.DataFrame:
+    """cid and links within one pair of blocks: of side 0 with side 1, or of side 0 with itself where there is no other."""
+    sets = [np.frombuffer(v, np.uint64) for v in group["set"]]
+    size = np.array([len(v) for v in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    side = group["side"].to_numpy()
+    one = bool((group["own"]).iloc[0])
+    if not one and (side == 0).all() | (side == 1).all():
+        return pd.DataFrame({"cid": group["cid"], "links": 0})
+    kept = [np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))]
+    rows = np.repeat(np.arange(len(sets)), size)
+    parts = []
+    for which in kept:
+        place = np.full(len(sets), -1)
+        place[which] = np.arange(len(which))
+        use = place[rows] >= 0
+        parts += [codes[use], place[rows[use]], len(which)]
+    both = _overlaps(*parts, int(codes.max()) + 1).astype(np.int64)
+    linked = 100 * both >= SIMILARITY_PERCENT * (size[kept[0]][:, None] + size[kept[1]][None, :] - both)
+    if one:
+        np.fill_diagonal(linked, False)
+    links = np.zeros(len(sets), np.int64)
+    links[kept[0]] += linked.sum(1)
+    if not one:
+        links[kept[1]] += linked.sum(0)
+    return pd.DataFrame({"cid": group["cid"], "links": links})
+
+
+def link_counts(comps: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """cid and links, the number of classes that it links to, of every class of comps (node, comp); sizes has cid and n, sets their sets.
+
+    A component is cut into bands of set sizes, and these into blocks by hash; each pair of blocks that sizes let link is
+    a group of its own, so a large component is no hot key.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
+    placed = stage(comps.select(F.col("node").alias("cid"), "comp").join(sizes.select("cid", "n"), "cid").withColumn("band", band), "placed")
+    bands = placed.groupBy("comp", "band").agg(F.count("*").alias("k"), F.sum("n").alias("elements"))
+    slots = F.ceil(F.greatest(F.col("elements") / BLOCK_ELEMENTS, F.col("k") / BLOCK_CLASSES)).cast("int")
+    whole = (F.sum("k").over(of := Window.partitionBy("comp")) <= BLOCK_CLASSES) & (F.sum("elements").over(of) <= BLOCK_ELEMENTS)
+    blocks = bands.withColumns({"slots": slots, "whole": whole})
+    layout = stage(blocks.groupBy("comp").agg(F.sum("k").alias("members"), F.first("whole").alias("whole"), F.map_from_entries(F.collect_list(F.struct("band", "slots"))).alias("slots")), "layout")
+    met = placed.join(small(layout, 200_000), "comp")
+    # two classes of one component link
+    pairs = met.where("members = 2").select("cid", F.lit(1).cast("long").alias("links"))
+    slot = F.when(F.col("whole"), 0).otherwise(F.expr("cast(pmod(xxhash64(cid), slots[band]) as int)"))
+    keys = """
+        if(whole, array(named_struct('lo', 0, 'a', 0, 'hi', 0, 'b', 0, 'side', 0)), concat(
+            transform(sequence(0, slots[band] - 1), s -> named_struct('lo', band, 'a', least(s, slot), 'hi', band, 'b', greatest(s, slot), 'side', if(s < slot, 1, 0))),
+            if(slots[band + 1] is null, array(), transform(sequence(0, coalesce(slots[band + 1], 1) - 1), s -> named_struct('lo', band, 'a', slot, 'hi', band + 1, 'b', s, 'side', 0))),
+            if(slots[band - 1] is null, array(), transform(sequence(0, coalesce(slots[band - 1], 1) - 1), s -> named_struct('lo', band - 1, 'a', s, 'hi', band, 'b', slot, 'side', 1)))))"""
+    dealt = met.where("members > 2").withColumn("slot", slot).select("comp", "cid", F.explode(F.expr(keys)).alias("key"))
+    full = dealt.select("comp", "cid", "key.*").withColumn("own", F.expr("lo = hi and a = b")).join(sets.select("cid", "set"), "cid")
+    found = full.groupBy("comp", "lo", "a", "hi", "b").applyInPandas(lambda group: _degrees(group), "cid long, links long")
+    return pairs.unionByName(found.groupBy("cid").agg(F.sum("links").alias("links")))
+
+
 # --- the join ----------------------------------------------------------------------------
 
 
@@ -285,13 +384,12 @@ def _able(postings: DataFrame, rounds: int = 2) -> DataFrame:
     return postings
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, class_id (equal sets) and links (of its class, all verified).
+def similar_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, class_id (equal sets) and, if asked, links (all other classes that its class links to, exactly).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Null, empty and wordless texts have no shingles,
     no links and themselves as component. Rows with an equal doc_id are documents of their own; a null doc_id
     never names a component unless all its members' are null. Other columns are not read.
-    links counts the links that were looked at; within a component more may hold.
     """
     prefixed = stage(prefixes(docs, shingle_classes(docs)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
     rows = stage(prefixed.drop("prefix", "m"), "rows")
@@ -346,15 +444,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     member = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     named = member.join(member.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
-    named = named.join(degree, "cid", "left").select("fp1", "fp2", "n", F.col("cid").alias("class_id"), "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    if count_links:
+        named = named.join(link_counts(comps, classes, sets), "cid", "left")
+    counted = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] * count_links
+    named = named.select("fp1", "fp2", "n", F.col("cid").alias("class_id"), "component_id", *counted)
     rows = rows.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", *counted)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that link, directly or over others, to a document with a smaller doc_id."""
-    drop = stage(similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "drop")
+    drop = stage(similar_groups(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct(), "drop")
     return docs.join(small(drop), "doc_id", "left_anti").select(*docs.columns)
 
 
