@@ -76,3 +76,11 @@ def test_the_target_scores_lower(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(1, 20, 2)], "doc_id long, quality int, toxic int")
     found = {r.doc_id: r.xent_diff for r in lm_scoring.score_against_good(docs, labels).collect()}
     assert max(v for k, v in found.items() if k % 2) < min(v for k, v in found.items() if not k % 2)
+
+
+def test_every_word_is_kept(spark):
+    """More different words than 16 bits can number, rare ones in both kinds of documents."""
+    rows = [(" ".join(f"r{k * 1500 + j}" for j in range(1500)) + f" tail{k % 2} r{k}", k % 2 == 0) for k in range(60)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, is_target boolean")
+    found = {r.doc_id: (r.n_tokens, r.xent_diff) for r in lm_scoring.score(df).collect()}
+    check([found[k] for k in range(len(rows))], brute(rows))
