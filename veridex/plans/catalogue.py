@@ -47,14 +47,17 @@ SQL: dict[str, tuple[str, str]] = {
     # projections
     "proj_dimension": ("SELECT DISTINCT return_flag, line_status FROM sales", "select distinct l_returnflag as return_flag, l_linestatus as line_status from lineitem"),
     "proj_alias": ("SELECT order_key AS id, priority AS p FROM orders WHERE order_key < 500", "select o_orderkey as id, o_orderpriority as p from orders where o_orderkey < 500"),
+    "proj_alias_whole": ("SELECT order_key AS id, priority AS p FROM orders", "select o_orderkey as id, o_orderpriority as p from orders"),
     "proj_plain": ("SELECT part_key, size, retail_price FROM parts", "select p_partkey as part_key, cast(p_size as bigint) as size, round(p_retailprice, 4) as retail_price from part"),
     "proj_computed": ("SELECT order_key, line_no, net FROM sales WHERE order_key < 2000", "select l_orderkey as order_key, cast(l_linenumber as bigint) as line_no, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem where l_orderkey < 2000"),
+    "proj_computed_whole": ("SELECT order_key, line_no, net FROM sales", "select l_orderkey as order_key, cast(l_linenumber as bigint) as line_no, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem"),
     "proj_computed_label": ("SELECT order_label FROM orders WHERE status = 'F'", "select o_orderkey || ' - ' || o_orderpriority as order_label from orders where o_orderstatus = 'F'"),
     "proj_star": ("SELECT * FROM nations", "select cast(n_nationkey as bigint) as nation_key, cast(n_regionkey as bigint) as region_key, n_name as nation_name from nation"),
     "proj_case": ("SELECT part_key, CASE WHEN size > 25 THEN 'large' ELSE 'small' END AS class FROM parts", "select p_partkey as part_key, case when p_size > 25 then 'large' else 'small' end as class from part"),
     "proj_coalesce": ("SELECT cust_key, COALESCE(NULLIF(segment, 'BUILDING'), 'none') AS seg FROM customers", "select c_custkey as cust_key, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as seg from customer"),
     "proj_concat": ("SELECT brand || '/' || part_type AS kind, UPPER(part_name) AS title FROM parts", "select p_brand || '/' || p_type as kind, upper(p_name) as title from part"),
     "proj_arith": ("SELECT order_key, line_no, gross * (1 + tax) - quantity AS unit_gross FROM sales WHERE order_key < 1000", "select l_orderkey as order_key, cast(l_linenumber as bigint) as line_no, round(l_extendedprice * (1 + l_tax) - l_quantity, 4) as unit_gross from lineitem where l_orderkey < 1000"),
+    "proj_arith_whole": ("SELECT order_key, line_no, gross * (1 + tax) - quantity AS unit_gross FROM sales", "select l_orderkey as order_key, cast(l_linenumber as bigint) as line_no, round(l_extendedprice * (1 + l_tax) - l_quantity, 4) as unit_gross from lineitem"),
     "proj_cast": ("SELECT part_key, CAST(retail_price AS INTEGER) AS whole, CAST(size AS STRING) AS size_text FROM parts", "select p_partkey as part_key, cast(trunc(p_retailprice) as bigint) as whole, cast(p_size as varchar) as size_text from part"),
     "proj_literal": ("SELECT 1 AS one, 'x' AS letter, region_name FROM regions", "select cast(1 as bigint) as one, 'x' as letter, r_name as region_name from region"),
     "proj_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM activity", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events"),

@@ -255,6 +255,11 @@ def trace_redact_values(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text").where("text rlike '(?i)token|password|secret'").select("doc_id", F.md5(fx.redact_values(F.col("text"))).alias("digest"))
 
 
+def trace_redact_whole(spark, sf_dir):
+    """All documents, whatever sensitive name they hold."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fx.redact_values(F.col("text"))).alias("digest"))
+
+
 def trace_span_tree(spark, sf_dir):
     """Conversations as sessions, user messages as turns and the rest as their inferences."""
     messages = trace.with_turns(table(spark, sf_dir, "conversations"))
@@ -394,7 +399,7 @@ _NAMES = """catalog_fields catalog_metrics catalog_ddl validate_violations linea
 entity_nodes_count entity_edges_count entity_composite_key entity_union_source entity_join_source entity_orphans entity_edge_condition entity_duplicate_keys
 graph_one_hop graph_two_hop_count graph_common_neighbors graph_bought_together graph_single_brand graph_degree graph_edge_types graph_neighbors graph_node_lookup graph_label_scan graph_catalog graph_store_reload
 reason_upsert reason_synonym_merge reason_synonym_chain reason_ontology_paths reason_inherited reason_top_facts
-trace_redact_values trace_span_tree trace_usage_fallback memory_turns memory_keep_zone memory_prune_tools memory_budget memory_last_messages
+trace_redact_values trace_redact_whole trace_span_tree trace_usage_fallback memory_turns memory_keep_zone memory_prune_tools memory_budget memory_last_messages
 score_resultset_equal score_answers score_numeric_match score_normalize_list score_answer_kind score_accuracy
 source_csv_infer source_json_nested source_schema_scan source_auto_model sample_rows total_count ground_truth extra_tumbling extra_sessions"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -441,6 +446,7 @@ ORACLE = {
     "reason_inherited": "select id, 's1' as src, 'supports' as label from (values ('o1'), ('o2'), ('o3'), ('o4')) t(id)",
     "reason_top_facts": "select id, cast(confidence as double) as confidence from (values ('f1', 0.9), ('f3', 0.7)) t(id, confidence)",
     "trace_redact_values": "select doc_id, md5(regexp_replace(text, '(?i)(api[_-]?key|apikey|authorization|access[_-]?token|refresh[_-]?token|token|password|passwd|secret|credential|private[_-]?key|cookie)([ \\t]*[:=][ \\t]*)[^,;\\n]+', '\\1\\2***', 'g')) as digest from documents where regexp_matches(text, '(?i)token|password|secret')",
+    "trace_redact_whole": "select doc_id, md5(regexp_replace(text, '(?i)(api[_-]?key|apikey|authorization|access[_-]?token|refresh[_-]?token|token|password|passwd|secret|credential|private[_-]?key|cookie)([ \\t]*[:=][ \\t]*)[^,;\\n]+', '\\1\\2***', 'g')) as digest from documents",
     "trace_span_tree": "select cast(0 as bigint) as depth, count(distinct conv_id) as n, count(*) filter (role = 'user') as children from conversations union all select 1, count(*) filter (role = 'user'), count(*) filter (role = 'assistant') from conversations union all select 2, count(*) filter (role = 'assistant'), 0 from conversations",
     "trace_usage_fallback": "select role, cast(sum(case when turn % 2 = 0 then length(text) else ceil(length(text) / 4) end) as bigint) as tokens from conversations group by role",
     "memory_turns": f"select conv_id, turn, cast(user_turn as bigint) as user_turn from ({_TURNS})",
