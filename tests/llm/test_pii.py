@@ -101,3 +101,9 @@ def test_reliabilities_are_found():
     assert all(abs(a - b) < 0.08 for a, b in zip(right, rates))
     assert post["phone", 1, 1, 1, 9, "plain", "space", "space"] > 0.9 > 0.2 > post["phone", -1, -1, -1, 9, "plain", "space", "space"]
     assert pii.train({}) == {} and pii.probability({}, ("phone", 1, 1, 1, 9, "plain", "space", "space")) == 0.5
+
+
+def test_a_long_secret_is_one_span():
+    key = "Ab3" * 700
+    others = pii.candidates(f"the api_key = {key} ends here")[1]
+    assert [span for span, votes in others if votes[0] == "secret"] == [(14, 14 + len(key))]

@@ -33,7 +33,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 # Looser patterns that only nominate candidates.
 _LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,8}", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+-]{16,512})", re.I)
+_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+-]{16,})", re.I)
 _CUES = re.compile(r"token|secret|passw|api[_-]?key|access[_-]?key", re.I)
 _SEEN = re.compile(r"[0-9@]|[\[(]at[\])]", re.I)
 
