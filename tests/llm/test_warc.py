@@ -87,3 +87,44 @@ def test_gaps_are_logged(spark):
     assert sorted(r.record_type for r in rows) == ["gap", "response", "response"]
     gap = next(r for r in rows if r.record_type == "gap")
     assert (gap.place, gap.payload_bytes, gap.payload_digest) == (0, 2, "no version line")
+
+
+def test_valid_records_beside_a_broken_one_in_a_member_are_kept():
+    parts = [rec(k, f"text {k} " * 20) for k in range(4)]
+    parts[1] = parts[1].replace(b"text 1", b"tixt 1", 1)
+    data = warc.member(b"".join(parts)) + archive(rec(7))
+    records, gaps = warc.salvage(data)
+    assert [h["warc-record-id"][-2] for _, h, _ in records] == ["0", "2", "3", "7"]
+    assert len(gaps) == 1 and "digest" in gaps[0][2] and gaps[0][:2] == (0, len(data) - len(archive(rec(7))))
+
+
+def test_a_cut_member_keeps_what_is_whole():
+    both = warc.member(rec(1, "a" * 500) + rec(2, "".join(chr(33 + k * k % 90) for k in range(3000))))
+    for cut in (both[:-20], both[:-20] + archive(rec(3))):
+        records, gaps = warc.salvage(cut)
+        assert [h["warc-record-id"][-2] for _, h, _ in records] == ["1", "3"][: 1 + (len(cut) > len(both))] and len(gaps) == 1
+
+
+def test_rows_that_share_a_page_id_but_not_a_payload(spark):
+    pages = [(1, "u", "a" * 1000), (9, "u", "a" * 1000), (1, "u", "b" * 1500), (1, "u", "small"), (1, "u", "c" * 2000), (2, "u", "c" * 2000)]
+    rows = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in rows) == [
+        (1, 5, "response", 0), (1, 1000, "revisit", 9), (1, 1500, "response", 0), (1, 2000, "revisit", 2), (2, 2000, "response", 0), (9, 1000, "response", 0),
+    ]
+    assert {r.payload_digest for r in rows} == {hashlib.sha1(h.encode()).hexdigest() for _, _, h in pages}
+
+
+def test_a_gap_ends_the_round_trip(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(warc, "write_archives", lambda pages, _: spark.createDataFrame([("a", bytearray(b"??" + archive(rec(1))))], "archive string, data binary"))
+    with pytest.raises(Exception, match="gap in an archive"):
+        warc.round_trip(spark.range(1)).collect()
+
+
+def test_a_text_beyond_the_step_of_decompression(spark):
+    import random
+
+    text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz \n", k=5_000_000))
+    r = warc.round_trip(spark.createDataFrame([(1, None, text)], "page_id long, url string, html string")).first()
+    assert (r.payload_bytes, r.payload_digest) == (len(text), hashlib.sha1(text.encode()).hexdigest())

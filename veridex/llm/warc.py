@@ -25,7 +25,10 @@ REVISIT_FROM = 1000
 ARCHIVE_BYTES = 4 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
-_STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_STARTS = re.compile(rb"\x1f\x8b\x08|" + _VERSION.pattern)
+#: Compressed bytes that are decompressed at once; around a fault in ever smaller steps.
+_INFLATE_STEP = 1 << 20
 
 
 class BrokenRecord(ValueError):
@@ -55,22 +58,32 @@ def member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def plan_revisits(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """page_id and refers_to of the pages whose payload another page with a larger id holds."""
+def _payload_keys() -> dict:
+    """_d and _n of a page's payload: SHA-1 in 20 bytes and length."""
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    seen = pages.select("page_id", F.sha1(payload).alias("_d"), F.octet_length(payload).alias("_n")).where((F.col("_n") >= revisit_from) & F.col("page_id").isNotNull())
+    return {"_d": F.unhex(F.sha1(payload)), "_n": F.octet_length(payload)}
+
+
+def plan_revisits(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
+    """page_id, _d, _n and refers_to of the payloads that a page with a larger id holds as well.
+
+    A payload is known by digest and length, so of two rows with one page_id each goes its own way. Grouped extremes
+    are formed before the shuffle, so a payload that very many pages share is no hot key.
+    """
+    seen = pages.select("page_id", *(c.alias(k) for k, c in _payload_keys().items())).where((F.col("_n") >= revisit_from) & F.col("page_id").isNotNull())
     last = seen.groupBy("_d", "_n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_first")).where("_first < refers_to").drop("_first")
-    return seen.join(last, ["_d", "_n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return seen.join(last, ["_d", "_n"]).where("page_id < refers_to").select("page_id", "_d", "_n", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """archive (name) and data of the archives that hold a record for every row.
 
     A null html counts as empty; a null page_id is kept as a response. Rows with equal page_id and payload are
-    all responses or revisits alike. Other columns are not read.
+    all responses or revisits alike; a row with the same page_id and another payload is judged by its own payload.
+    Of equal payloads at least one response is always written. Other columns are not read.
     """
     revisits = small(stage(plan_revisits(pages, revisit_from), "revisits"))
-    rows = pages.select("page_id", "url", "html").join(revisits, "page_id", "left")
+    rows = pages.select("page_id", "url", "html").withColumns(_payload_keys()).join(revisits, ["page_id", "_d", "_n"], "left")
 
     def run(batches):
         part, done, out, size = TaskContext.get().partitionId(), 0, [], 0
@@ -93,7 +106,7 @@ def write_archives(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFr
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at a place. Raises BrokenRecord if a check fails."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
+    if not _VERSION.match(data, at):
         raise BrokenRecord("no version line")
     stop = data.find(_END, at)
     if stop < 0:
@@ -123,43 +136,75 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block.partition(_END)[2] if headers.get("content-type", "").startswith("application/http") else block
 
 
-def _at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """All records of the gzip member, or the plain record, at a place, and where it ends."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        headers, block, end = parse_record(data, at)
-        return [(headers, block)], end
-    z = zlib.decompressobj(31)
-    try:
-        plain = z.decompress(memoryview(data)[at:])
-    except zlib.error as error:
-        raise BrokenRecord(f"gzip: {error}") from error
-    if not z.eof:
-        raise BrokenRecord("gzip: cut")
-    found, k = [], 0
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What a gzip member at a place holds, as far as it can be decompressed, its end if it is whole, else the reason."""
+    z, out, k, step = zlib.decompressobj(31), [], at, _INFLATE_STEP
+    while k < len(data) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[k : k + step]))
+            k += step
+        except zlib.error as error:
+            if step == 1:
+                return b"".join(out), None, f"gzip: {error}"
+            z, step = before, max(1, step // 16)  # once more in smaller steps, for the bytes before the fault
+    return (b"".join(out), min(k, len(data)) - len(z.unused_data), "") if z.eof else (b"".join(out), None, "gzip: cut")
+
+
+def _records(plain: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The valid records of decompressed bytes, and the gaps between them; after a failed check the next version line is tried."""
+    found, gaps, k = [], [], 0
     while k < len(plain):
-        headers, block, k = parse_record(plain, k)
-        found.append((headers, block))
-    return found, len(data) - len(z.unused_data)
-
-
-def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """Every valid record (place, headers, block) and every quarantined gap (begin, end, reason)."""
-    records, gaps, at = [], [], 0
-    while at < len(data):
         try:
-            found, end = _at(data, at)
+            headers, block, end = parse_record(plain, k)
         except BrokenRecord as error:
-            begin, reason, found, end = at, str(error), [], len(data)
-            at = len(data)
-            for m in _STARTS.finditer(data, begin + 1):
+            begin, reason, end = k, str(error), len(plain)
+            for m in _VERSION.finditer(plain, k + 1):
                 try:
-                    found, end = _at(data, m.start())
+                    parse_record(plain, m.start())
                 except BrokenRecord:
                     continue
-                at = m.start()
+                end = m.start()
                 break
-            gaps.append((begin, at, reason))
+            gaps.append((begin, end, reason))
+        else:
+            found.append((headers, block))
+        k = end
+    return found, gaps
+
+
+def _at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int | None, list[str]]:
+    """All valid records of the gzip member, or the plain record, at a place, its end if it is whole, and the failed checks."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        try:
+            headers, block, end = parse_record(data, at)
+        except BrokenRecord as error:
+            return [], None, [str(error)]
+        return [(headers, block)], end, []
+    plain, end, reason = _inflate(data, at)
+    found, gaps = _records(plain)
+    return found, end, [*[reason] * (end is None), *(f"bytes {b} to {e} of the member: {why}" for b, e, why in gaps)]
+
+
+def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """Every valid record (place, headers, block) and every quarantined gap (begin, end, reason).
+
+    A record in a member has the member's place. Of a member with a fault the valid records are kept, also those
+    before a cut; the gap is then the whole member and its reason says which decompressed bytes were passed over.
+    """
+    records, gaps, at = [], [], 0
+    while at < len(data):
+        found, end, faults = _at(data, at)
         records += [(at, headers, block) for headers, block in found]
+        if end is None:
+            end = len(data)
+            for m in _STARTS.finditer(data, at + 1):
+                more, whole, _ = _at(data, m.start())
+                if more or whole is not None:
+                    end = m.start()
+                    break
+        if faults:
+            gaps.append((at, end, "; ".join(faults)))
         at = end
     return records, gaps
 
@@ -198,6 +243,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """Pages to archives in a table and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Pages to archives in a table and back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    One row per page, repeated rows and null ids included; an empty table gives none. Texts of any length are one
+    record. The archives were written here, so a quarantined gap in them is an error and ends the query.
+    """
     archives = stage(write_archives(pages, revisit_from), "warc")
-    return read_archives(archives).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("record_type") == "gap", F.raise_error(F.concat(F.lit("gap in an archive: "), "payload_digest"))).otherwise(F.col("record_type"))
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to")
