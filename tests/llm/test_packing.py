@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -11,13 +12,13 @@ from tests.llm.conftest import EDGES, docs_of
 from veridex.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["a  b", " a", "a ", "\n\n", "x\ty", "a b", "a  b", "<|endoftext|> x", "it's we'll 12ab!?", "日本語 テスト", "́e‍ x", "a \n b", "ΑΒΓ ωμέγα", "привет мир", "\x1c\x1d", "a\x85b", "🎉🎉 ok"]
+LIBRARY = Tokenizer.from_file(PATH)
+ODD = ["a  b", " a", "a ", "\n\n", "x\ty", "a b", "a  b", "<|endoftext|> x", "hello <|endoftext|> bye", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext", "it's we'll 12ab!?", "日本語 テスト", "́e‍ x", "a \n b", "ΑΒΓ ωμέγα", "привет мир", "\x1c\x1d", "a\x85b", "🎉🎉 ok"]
 
 
+@lru_cache(maxsize=None)
 def ids_of(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
 def check(rows, texts):
@@ -82,3 +83,35 @@ def test_patterns_hold_the_histogram(seed):
         for length in pattern:
             held[length] += count
     assert held == histogram
+
+
+def one_by_one(lengths, seq_len):
+    """Fill of every sequence, each document in turn going to the shortest pack that is open."""
+    packs = []
+    for length in sorted(lengths, reverse=True):
+        k = min(range(len(packs)), key=packs.__getitem__, default=None)
+        if k is None or packs[k] + length > seq_len:
+            packs.append(length)
+        else:
+            packs[k] += length
+    return sorted(packs)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_patterns_are_those_of_one_document_at_a_time(seed):
+    rng = random.Random(seed)
+    size = rng.choice([10, 64, 200])
+    histogram = {rng.randrange(1, size + 1): rng.randrange(1, 40) for _ in range(rng.randrange(1, 40))}
+    found = sorted(sum(p) for p, n in packing.shortest_pack_first(histogram, size) for _ in range(n))
+    assert found == one_by_one([k for k, n in histogram.items() for _ in range(n)], size)
+
+
+def test_the_shortest_pack_is_the_one_with_the_most_room():
+    assert sorted(p for p, n in packing.shortest_pack_first({6: 1, 5: 1, 3: 1}, 10)) == [(5, 3), (6,)]
+    assert packing.shortest_pack_first({}, 10) == []
+
+
+def test_a_text_beyond_one_step(spark):
+    text = "lorem ipsum dolor " * 300_000
+    rows = packing.pack_documents(docs_of(spark, [text, "x"]), PATH).collect()
+    check(rows, {0: text, 1: "x"})

@@ -8,8 +8,9 @@ corpus is, goes to the driver; patterns of lengths are built there and joined ba
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,9 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        #: A text that holds an added token is cut at it by the library.
+        self.added = re.compile("|".join(added)) if added else None
         self.fast = self._ranks(path)
 
     @staticmethod
@@ -82,7 +85,7 @@ class _Encoder:
         for k, text in enumerate(column.to_pylist()):
             if not text:
                 ids = []
-            elif self.fast is None or k in careful:
+            elif self.fast is None or k in careful or self.added and self.added.search(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
                 ids = self.fast(text)
@@ -128,8 +131,9 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN,
 def shortest_pack_first(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, number of sequences) that hold every length as often as the histogram says.
 
-    Lengths go longest first, each time to the open pattern with the least room left that still holds it; the
-    smaller count moves and the rest of either side stays. The work depends on the bins, not on the rows.
+    Lengths go longest first, each time to the shortest open pattern, that is the one with the most room; a new one
+    is opened where even that doesn't hold it. The smaller count moves and the rest of either side stays. The work
+    depends on the bins, not on the rows.
     """
     open_at: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     rooms: list[int] = []
@@ -143,18 +147,17 @@ def shortest_pack_first(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> li
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            k = bisect_left(rooms, length)
-            if k == len(rooms):
-                # as many of this length as fit share a sequence
+            if not rooms or rooms[-1] < length:
+                # a new pattern has the most room until it is full, so as many of this length as fit share it
                 each = min(seq_len // length, left)
                 put(seq_len - each * length, (length,) * each, left // each)
                 left -= left // each * each
                 continue
-            room = rooms[k]
+            room = rooms[-1]
             pattern, count = open_at[room].pop()
             if not open_at[room]:
                 del open_at[room]
-                rooms.pop(k)
+                rooms.pop()
             moved = min(count, left)
             if count > moved:
                 put(room, pattern, count - moved)
