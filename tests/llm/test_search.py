@@ -5,14 +5,15 @@ import numpy as np
 import pytest
 
 from veridex.llm import impact_search
+from veridex.llm.common import stage
 
 
 def brute(rows, k=5):
     good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in good:
+    for own, (q, v) in enumerate(good):
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(good) if j != own)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
@@ -32,8 +33,20 @@ def test_against_brute_force(spark, n, dims, spread):
 
 def test_ties_and_small_blocks(spark):
     rows = [(i, [1.0, -1.0]) for i in range(60)] + [(i, [0.5, 0.25]) for i in range(60, 120)]
-    v = impact_search.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    assert found(impact_search.top_k(v, v.where("vec_id % 50 = 0"), 5, block_rows=16, block_queries=2)) == brute(rows)
+    v = stage(impact_search.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "v")
+    assert found(impact_search.top_k(v, v.where("vec_id % 50 = 0"), 5, block_rows=16, query_bytes=40)) == brute(rows)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [-1.0, 0.5]), (1, [1.0, 2.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0])]
+    result = found(impact_search.search_table(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    assert result == brute(rows) and len(result) == 15
+
+
+def test_empty_vectors_take_part(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found(impact_search.search_table(frame([(0, []), (1, []), (2, [])]))) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    assert found(impact_search.search_table(frame([(0, [1.0]), (1, []), (50, [2.0])]))) == [(0, 1, 50, 256 * 512), (0, 2, 1, 0), (50, 1, 0, 256 * 512), (50, 2, 1, 0)]
 
 
 def test_empty(spark):

@@ -1,21 +1,30 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors become integers and are dealt into blocks. In a block each dimension's postings are cut into segments of
-one quantised value. For a query, every segment has an impact, its least gain over the dimension's worst value in
-the block. Segments of all dimensions are processed by descending quantised impact, adding lower bounds to
-accumulators. What is still open is bounded by the next segments' gains; the loop ends early only when the bounds
-prove that few rows can be members, and all of those are scored exactly.
+Vectors become integers and are dealt into blocks by row; each block's index is built once and stored. In a block
+each dimension's postings are cut into segments of one quantised value. For a query, every segment has an impact,
+its least gain over the dimension's worst value in the block. Segments of all dimensions are processed by descending
+quantised impact, adding lower bounds to accumulators. What is still open is bounded by the next segments' gains; the
+loop ends early only when the bounds prove that few rows can be members, and all of those are scored exactly.
+
+Queries go to the stored index in parts of bounded bytes, so no vector is copied or shuffled once per query.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and queries that meet a block in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 512
+from veridex.llm.common import release, stage
+
+#: Rows of a block at most on average, and from which on a table is dealt to all cores.
+BLOCK_ROWS, LEAST_ROWS = 16_384, 2_048
+#: Bytes of the queries that are sent to all blocks at once.
+QUERY_BYTES = 32 << 20
 #: Segments of a dimension.
 LEVELS = 16
 #: The loop may end once so few rows of a block can be members.
@@ -28,6 +37,10 @@ class Index:
 
     def __init__(self, matrix: np.ndarray, levels: int = LEVELS):
         self.matrix = matrix
+        if not matrix.size:  # vectors without components: every score is 0
+            self.low = self.high = np.zeros(matrix.shape[1], np.int64)
+            self.rows, self.dims, self.least, self.most = [], *(np.zeros(0, np.int64) for _ in range(3))
+            return
         low, high = matrix.min(0), matrix.max(0)
         width = np.maximum(1, -(-(high - low + 1) // levels))
         self.low, self.high = low, high
@@ -45,6 +58,21 @@ class Index:
                 self.rows.append(part)
         self.dims, self.least, self.most = np.array(dims), np.array(least), np.array(most)
 
+    def stored(self) -> tuple[bytes, ...]:
+        """The postings as bytes: rows by segment, segment sizes, dimensions, least and most values."""
+        rows = np.concatenate([*self.rows, np.zeros(0, np.int64)]).astype("<i4")
+        return tuple(a.tobytes() for a in (rows, np.array([len(r) for r in self.rows], "<i4"), self.dims.astype("<i4"), self.least.astype("<i8"), self.most.astype("<i8")))
+
+    @classmethod
+    def load(cls, matrix: np.ndarray, parts: tuple[bytes, ...]) -> Index:
+        self = cls.__new__(cls)
+        self.matrix = matrix
+        self.low, self.high = (matrix.min(0), matrix.max(0)) if matrix.size else (np.zeros(matrix.shape[1], np.int64),) * 2
+        rows, sizes, self.dims = (np.frombuffer(p, "<i4").astype(np.int64) for p in parts[:3])
+        self.rows = np.split(rows, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        self.least, self.most = (np.frombuffer(p, "<i8") for p in parts[3:])
+        return self
+
     def top(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best rows but `own`, ties to the smaller position."""
         n = len(self.matrix)
@@ -91,53 +119,94 @@ def _next_best(dims: np.ndarray, best: np.ndarray, n: int) -> np.ndarray:
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v, floor(scale * x) of every component; rows that are null or hold null or non-finite values are left out."""
+    """rid, which names the row, vec_id and v, floor(scale * x) of every component; rows that are null or hold null or non-finite values are left out.
+
+    rid follows the partitions, so the result must be written before it is used twice. Other columns are not read.
+    """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     return vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(~bad).select(
-        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
+        F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
     )
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows with the largest integer inner product, the query's own row aside.
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width), np.int64)
+    for i, v in enumerate(vectors):
+        row = np.asarray(v.values)
+        out[i, : len(row)] = row
+    return out
+
+
+def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """One stored row per block (ids, rids, matrix, postings), and the width of the matrix.
 
-    vectors and queries hold vec_id and v (see integers). Ties go to the smaller vec_id. Rows with the same vec_id
-    and vector are one candidate each. Vectors of different lengths are compared over the longer, zeros added.
-    Queries with fewer than k candidates return all; an empty table gives no rows.
+    vectors: rid, which names the row, vec_id and v. Rows are dealt by a hash of rid, so that equal ids or vectors are
+    no hot block; there are as many blocks as cores unless that makes them tiny.
     """
     size = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     rows, width = size[0], size[1] or 0
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-rows // block_rows), min(cores, rows // min(LEAST_ROWS, block_rows)))
+
+    def build(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["vec_id", "rid"])
+        matrix = _matrix(pa.array(block["v"], pa.list_(pa.int64())), width)
+        parts = Index(matrix).stored()
+        one = [block["vec_id"].to_numpy(np.int64).tobytes(), block["rid"].to_numpy(np.int64).tobytes(), matrix.astype("<i8").tobytes(), *parts]
+        return pd.DataFrame([one], columns=columns)
+
+    columns = ["ids", "rids", "matrix", "rows", "sizes", "dims", "least", "most"]
+    dealt = vectors.withColumn("_b", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+    index = dealt.groupBy("_b").applyInPandas(lambda block: build(block), ", ".join(f"{c} binary" for c in columns))
+    return stage(index.repartition(blocks), "index"), width
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row of queries the k rows of vectors with the largest integer inner product.
+
+    vectors and queries hold rid, vec_id and v (see integers); a query's own row, the one with its rid, is no
+    candidate, other rows with its vec_id are. Ties go to the smaller vec_id. Repeated ids among the queries are
+    rankings of their own, repeated rows candidates of their own. Vectors of different lengths are compared over the
+    longer, zeros added; without components all scores are 0. Queries with fewer than k candidates return all; an
+    empty table gives no rows.
+    """
+    spark = vectors.sparkSession
+    index, width = build_index(vectors, block_rows)
     asked = queries.count()
-    blocks, groups = max(1, -(-rows // block_rows)), max(1, -(-asked // block_queries))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("_q", each(groups))
-    right = queries.withColumn("_q", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).withColumn("_b", each(blocks))
-
-    def matrix(frame: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(frame), width), np.int64)
-        for i, v in enumerate(frame["v"]):
-            out[i, : len(v)] = v
-        return out
-
-    def search(_, block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(block) and len(some):
-            block = block.sort_values("vec_id", kind="stable")
-            ids = block["vec_id"].to_numpy()
-            index = Index(matrix(block))
-            for query_id, query in zip(some["vec_id"], matrix(some)):
-                first, last = np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, "right")
-                at, scores = index.top(query, k + max(0, int(last - first) - 1), int(first) if last > first else -1)
-                keep = ids[at] != query_id
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][keep][:k], "score": scores[keep][:k]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    best = left.groupBy("_b", "_q").cogroup(right.groupBy("_b", "_q")).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = max(1, math.ceil(asked * (8 * width + 16) / query_bytes))
+    dealt = stage(queries.select("rid", "vec_id", "v", F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int").alias("_q")), "queries")
+    found = []
+    for part in range(parts):
+        some = dealt.where(F.col("_q") == part).toArrow()  # about query_bytes
+        shared = spark.sparkContext.broadcast((some["rid"].to_numpy(), some["vec_id"].to_numpy(), _matrix(some["v"].combine_chunks(), width)))
+
+        def search(batches, shared=shared):
+            rids, query_ids, asked = shared.value
+            for batch in batches:
+                for block in zip(*batch.columns):
+                    block = [x.as_py() for x in block]
+                    ids, own = (np.frombuffer(x, np.int64) for x in block[:2])
+                    one = Index.load(np.frombuffer(block[2], "<i8").reshape(len(ids), width), tuple(block[3:]))
+                    mine = dict(zip(own.tolist(), range(len(own))))
+                    best: list[list[np.ndarray]] = [[], [], [], []]
+                    for rid, query_id, query in zip(rids.tolist(), query_ids.tolist(), asked):
+                        at, scores = one.top(query, k, mine.get(rid, -1))
+                        for column, values in zip(best, (np.full(len(at), rid), np.full(len(at), query_id), ids[at], scores)):
+                            column.append(values)
+                    if best[0]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in best], ["rid", "query_id", "vec_id", "score"])
+
+        found.append(stage(index.mapInArrow(search, "rid long, query_id long, vec_id long, score long"), "found"))
+        shared.destroy()
+    release(index, dealt)
+    best = found[0]
+    for more in found[1:]:
+        best = best.union(more)
+    order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_table(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """The stated query set (ids divisible by `every`) against all rows."""
-    whole = integers(vectors)
+    """The stated query set (ids divisible by `every`) against all rows. Null ids and vectors take no part, empty vectors do."""
+    whole = stage(integers(vectors), "integers")
     return top_k(whole, whole.where(F.col("vec_id") % every == 0), k)
