@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 #: Text bytes that one vectorised step works on; a longer document is its own step.
 STEP_BYTES = 4 << 20
+#: Rows and bytes of text up to which a counted table may be broadcast: some tens of MB in the driver.
+SMALL_ROWS, SMALL_BYTES = 300_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +55,23 @@ def release(*frames: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Marks df for broadcast if it is counted to hold at most max_rows narrow rows; else it joins by a shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether df is counted to hold at most max_rows rows and, in its text and binary columns, at most max_bytes."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    size = sum(wide, F.lit(0).cast("long"))
+    rows, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and total <= max_bytes
+
+
+def small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Marks df, a table of scalar columns, for broadcast if it is small; else it joins by a shuffle."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Python and the JVM drop what nothing refers to any more, so that Spark removes its shuffle files and broadcasts too."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 # --- words of whole texts, vectorised -------------------------------------------------

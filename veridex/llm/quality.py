@@ -4,7 +4,8 @@ A logistic classifier of words and text shape, fitted on a bounded sample of lab
 the log-odds of being bad. Sites form a tree: global, host, path. Every document of every site counts. A host's
 rate of bad documents is shrunk toward the global one, a path's toward its host's, each with a strength found
 by the method of moments, so sparse sites follow their parents. The path's posterior then shifts the document's
-log-odds by how far the site's rate lies from the one that the classifier was trained under.
+log-odds by how far the site's rate lies from the one that the classifier was trained under. A document's own
+evidence is left out of its host and path, so that it counts once.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridex.llm.common import mix, small, stage, steps, utf8, words
+from veridex.llm.common import is_small, mix, release, small, stage, steps, utf8, words
 
-#: Labelled documents to fit on, chosen by a hash of doc_id.
-SAMPLE_ROWS = 12_000
+#: Labelled documents to fit on, chosen by a hash of doc_id, and their bytes of text at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 64 << 20
 BUCKETS = 1 << 18
 HEADS = ("low_quality", "toxic")
+_ODDS = ("_low", "_toxic")
+#: Tasks that a site's rows are dealt to where there are too many sites to broadcast.
+SALT = 32
 REJECT_FROM = 0.5
 
 # ASCII classes of the shape features.
@@ -116,11 +120,14 @@ def fit(first: np.ndarray, bucket: np.ndarray, shape: np.ndarray, labels: np.nda
     return Model(full, dense, mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits on at most sample_rows labelled documents; rows with a null id or label are not used."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fits on at most sample_rows labelled documents with sample_bytes of text; rows with a null id or label are not used.
+
+    Of documents with one doc_id one is taken. What reaches the driver is at most twice the sample's text.
+    """
     chosen = (
         labels.where("doc_id is not null and quality is not null and toxic is not null")
-        .groupBy("doc_id").agg(F.max(F.lit(1) - F.col("quality")).alias("_low"), F.max("toxic").alias("_toxic"))
+        .groupBy("doc_id").agg(F.max(F.lit(1) - F.col("quality")).cast("int").alias("_low"), F.max("toxic").cast("int").alias("_toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     chosen = stage(chosen, "labels")
@@ -133,23 +140,31 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 first, bucket, shape = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(bucket))
                 shapes = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * SHAPES, pa.int32()), pa.array(shape.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists, shapes, batch.column(2)[i:j].cast(pa.int32()), batch.column(3)[i:j].cast(pa.int32())], ["doc_id", "b", "s", "low", "toxic"])
-
-    found = rows.mapInArrow(run, "doc_id long, b array<int>, s array<double>, low int, toxic int").toArrow()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(offsets[i : j + 1])), lists, shapes, batch.column(2)[i:j], batch.column(3)[i:j]], ["doc_id", "size", "b", "s", "low", "toxic"])
+
+    featured = rows.mapInArrow(run, "doc_id long, size long, b array<int>, s array<double>, low int, toxic int")
+    one = stage(featured.groupBy("doc_id").agg(F.max(F.struct("size", "b", "s", "low", "toxic")).alias("x")).select("doc_id", "x.*"), "features")
+    # at most sample_rows rows, so one task can add up their sizes
+    within = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    kept = one.join(F.broadcast(one.select("doc_id", within.alias("_sum")).where(F.col("_sum") <= sample_bytes).select("doc_id")), "doc_id")
+    found = kept.select("doc_id", "b", "s", "low", "toxic").toArrow()
+    release(chosen, one)
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     found = found.take(pa.array(order)).combine_chunks()
     if not found.num_rows:
         return None
-    b = found["b"].combine_chunks() if isinstance(found["b"], pa.ChunkedArray) else found["b"]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in b])]) if b.null_count else b.offsets.to_numpy() - b.offsets[0].as_py()
-    shape = np.array(found["s"].to_pylist()).reshape(-1, SHAPES)
-    return fit(first, b.flatten().to_numpy(), shape, np.stack([found["low"].to_numpy(), found["toxic"].to_numpy()], axis=1))
+    b, s = (found[c].combine_chunks() for c in ("b", "s"))
+    first = np.concatenate([[0], np.cumsum(np.diff(b.offsets.to_numpy()))])
+    labelled = np.stack([found["low"].to_numpy(), found["toxic"].to_numpy()], axis=1)
+    return fit(first, b.flatten().to_numpy(), s.flatten().to_numpy().reshape(-1, SHAPES), labelled)
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The kept columns of every document with _low and _toxic, the classifier's log-odds; null without a model."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a fixed number of buckets
+    """The kept columns of every document with _low and _toxic, the classifier's log-odds; null without a model.
+
+    The result is written, so that texts are read once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
     frame = docs.select(*keep, F.col("text").alias("_text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_low", T.DoubleType()), T.StructField("_toxic", T.DoubleType())])
 
@@ -164,7 +179,9 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(odds[:, k], from_pandas=True) for k in (0, 1))], [*schema.names])
 
-    return frame.mapInArrow(run, schema)
+    out = stage(frame.mapInArrow(run, schema), "scored")
+    shared.destroy()
+    return out
 
 
 def _logit(x: Column) -> Column:
@@ -175,17 +192,17 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """_host, _path and for each head the global rate and the host's and the path's posterior rate.
+def site_evidence(scored: DataFrame) -> tuple[DataFrame, dict[str, float], dict[str, float], dict[str, float]]:
+    """(_host, _path and for each the documents and the sum of each head's probabilities), and by head the global rate and the strengths of hosts and paths.
 
     scored: _host, _path, _low, _toxic. Counts are pre-aggregated before the shuffle, so a host with a third of
     all rows is no hot key. Strength by moments: m(1 - m) / v - 1 for rates with mean m and variance v beyond
     what sampling explains, between 1 and 1e6.
     """
-    heads = ("_low", "_toxic")
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), *(F.sum(F.coalesce(_sigmoid(F.col(h)), F.lit(0.0))).alias(h) for h in heads))
+    heads = _ODDS
+    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), *(F.sum(F.coalesce(_sigmoid(F.col(h)), F.lit(0.0))).alias(f"{h}_sum") for h in heads))
     paths = stage(paths, "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("_n"), *(F.sum(h).alias(f"_h{h}") for h in heads))
+    hosts = stage(paths.groupBy("_host").agg(F.sum("n").alias("_n"), *(F.sum(f"{h}_sum").alias(f"_h{h}") for h in heads)), "hosts")
 
     def strength(frame: DataFrame, n: str, cols: list[str], parents: list) -> dict[str, float]:
         aggs = []
@@ -207,33 +224,55 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     total = whole["n"] or 0
     rate = {h: ((whole[h] or 0.0) + 0.5) / (total + 1) for h in heads}
     k_host = strength(hosts, "_n", [f"_h{h}" for h in heads], [F.lit(rate[h]) for h in heads])
-    for h in heads:
-        hosts = hosts.withColumn(f"host{h}", (F.col(f"_h{h}") + k_host[h] * rate[h]) / (F.col("_n") + k_host[h])).withColumn(f"rate{h}", F.lit(rate[h]))
-    joined = paths.join(small(hosts.drop("_n", *(f"_h{h}" for h in heads)), 500_000), paths["_host"].eqNullSafe(hosts["_host"])).drop(hosts["_host"])
-    k_path = strength(joined, "n", list(heads), [F.col(f"host{h}") for h in heads])
-    for h in heads:
-        joined = joined.withColumn(f"path{h}", (F.col(h) + k_path[h] * F.col(f"host{h}")) / (F.col("n") + k_path[h]))
-    return joined.select("_host", "_path", *(f"{level}{h}" for h in heads for level in ("rate", "host", "path")))
+    one = hosts.withColumnRenamed("_host", "_h")
+    joined = paths.join(small(one), paths["_host"].eqNullSafe(one["_h"])).drop("_h")
+    k_path = strength(joined, "n", [f"{h}_sum" for h in heads], [(F.col(f"_h{h}") + k_host[h] * rate[h]) / (F.col("_n") + k_host[h]) for h in heads])
+    sites = stage(joined, "sites")
+    release(paths, hosts)
+    return sites, rate, k_host, k_path
+
+
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample_rows: int, reject_from: float, keep: list[str]) -> DataFrame:
+    """The kept columns as _c0, _c1 and so on, with _p_low, _host_low, _path_low, the same of toxic, and _rejected."""
+    model = train(docs, labels, sample_rows)
+    inner = [f"_c{k}" for k in range(len(keep))]
+    named = docs.select(*[F.col(c).alias(i) for i, c in zip(inner, keep)], F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), F.col("text"))
+    scored = score(named, model, [*inner, "_host", "_path"])
+    sites, rate, k_host, k_path = site_evidence(scored)
+    sites = sites.withColumnsRenamed({"_host": "_h", "_path": "_p"})
+    same = scored["_host"].eqNullSafe(sites["_h"]) & scored["_path"].eqNullSafe(sites["_p"])
+    if is_small(sites):
+        joined = scored.join(F.broadcast(sites), same)
+    else:  # rows of a hot site go to several tasks
+        dealt = scored.withColumn("_s", F.pmod(F.xxhash64("_low", "_toxic"), F.lit(SALT)))
+        sites = sites.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        joined = dealt.join(sites, dealt["_host"].eqNullSafe(sites["_h"]) & dealt["_path"].eqNullSafe(sites["_p"]) & (dealt["_s"] == sites["_t"]))
+    outputs = {}
+    for h in _ODDS:
+        own = F.coalesce(_sigmoid(F.col(h)), F.lit(0.0))
+        # sums without the document itself; rounding can't take them below zero
+        of_host = (F.greatest(F.col(f"_h{h}") - own, F.lit(0.0)) + k_host[h] * rate[h]) / (F.col("_n") - 1 + k_host[h])
+        of_path = (F.greatest(F.col(f"{h}_sum") - own, F.lit(0.0)) + k_path[h] * of_host) / (F.col("n") - 1 + k_path[h])
+        outputs |= {f"_host{h}": of_host, f"_path{h}": of_path, f"_p{h}": _sigmoid(F.col(h) + _logit(of_path) - _logit(F.lit(rate[h])))}
+    out = joined.select(*inner, *[c.alias(n) for n, c in outputs.items()])
+    return out.withColumn("_rejected", F.coalesce((F.col("_p_low") >= reject_from) | (F.col("_p_toxic") >= reject_from), F.lit(False)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample_rows: int = SAMPLE_ROWS, reject_from: float = REJECT_FROM, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (doc_id) with p_low, p_toxic, host_low, path_low, host_toxic, path_toxic and rejected.
 
-    Nulls: a null text counts as empty, null hosts and paths are sites of their own. Without labelled documents the
-    probabilities are null and nothing is rejected. Repeated rows are judged alike. Columns whose names begin with
-    an underscore may clash and are renamed inside; others pass untouched.
+    host_ and path_ are the posterior rates of the site's other documents. Nulls: a null text counts as empty, null
+    hosts and paths are sites of their own. Without labelled documents the probabilities are null and nothing is
+    rejected. Repeated rows are judged one by one and alike; texts have no greatest length; an empty table gives no
+    rows. A kept column that is named like an output gives way to it; names of other columns can't clash.
     """
-    keep = keep or ["doc_id"]
-    model = train(docs, labels, sample_rows)
-    sites = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keep)], F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), F.col("text"))
-    inner = [f"_c{k}" for k in range(len(keep))]
-    posteriors = small(stage(site_posteriors(score(sites, model, ["_host", "_path"])), "sites"), 500_000)
-    posteriors = posteriors.withColumnsRenamed({"_host": "_h", "_path": "_p"})
-    scored = score(sites, model, [*inner, "_host", "_path"])
-    joined = scored.join(posteriors, scored["_host"].eqNullSafe(posteriors["_h"]) & scored["_path"].eqNullSafe(posteriors["_p"]))
-    shifted = {h: _sigmoid(F.col(h) + _logit(F.col(f"path{h}")) - _logit(F.col(f"rate{h}"))) for h in ("_low", "_toxic")}
-    out = joined.select(
-        *[F.col(i).alias(c) for i, c in zip(inner, keep)], shifted["_low"].alias("p_low"), shifted["_toxic"].alias("p_toxic"),
-        *[F.col(f"{level}_{h}") for h in ("low", "toxic") for level in ("host", "path")],
-    )
-    return out.withColumn("rejected", F.coalesce((F.col("p_low") >= reject_from) | (F.col("p_toxic") >= reject_from), F.lit(False)))
+    outputs = ["p_low", "p_toxic", "host_low", "path_low", "host_toxic", "path_toxic", "rejected"]
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in outputs]
+    out = _judged(docs, labels, host, path, sample_rows, reject_from, keep)
+    return out.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], *[F.col(f"_{c}").alias(c) for c in outputs])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample_rows: int = SAMPLE_ROWS, reject_from: float = REJECT_FROM) -> DataFrame:
+    """docs, with all their columns whatever their names, without those that are rejected. Nulls and repeats as in judge."""
+    out = _judged(docs, labels, host, path, sample_rows, reject_from, docs.columns)
+    return out.where("not _rejected").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
