@@ -107,3 +107,52 @@ def test_a_long_secret_is_one_span():
     key = "Ab3" * 700
     others = pii.candidates(f"the api_key = {key} ends here")[1]
     assert [span for span, votes in others if votes[0] == "secret"] == [(14, 14 + len(key))]
+
+
+def test_no_span_has_a_greatest_length():
+    local, label = "a" * 300, "b" * 200
+    for text in (f"x {local}[At]{label}.{label} dot", f"x {local} (aT) " + ".".join([label] * 12)):
+        (span, votes), *_ = pii.candidates(text)[1]
+        assert votes[0] == "email" and span[0] == 2 and span[1] >= len(text) - 4
+    digits = "4" + "-1" * 90
+    assert [s for s, v in pii.candidates(f"card {digits} end")[1] if v[0] == "card"] == [(5, 5 + len(digits))]
+
+
+def test_every_overlap_is_seen():
+    # one long base span under the candidate, and many short ones that begin later
+    text = "+1 " + ("0" * 3 + " ") * 3 + "(212) 555-0100"
+    for seed in range(200):
+        rng = random.Random(seed)
+        text = "".join(rng.choice(["1.2.3.4 ", "+1 555 0100 22 ", "a@b.cc ", "(212) 555-0100 ", "x(at)y.z ", "4111111111111111 "]) for _ in range(30))
+        base, others = pii.candidates(text)
+        taken = [s for v in base.values() for s in v]
+        assert not any(v[1] == 1 and s < e2 and e > s2 for (s, e), v in others for s2, e2 in taken)
+
+
+def planted(seed, n):
+    """Documents with one hidden item each that no base pattern finds, in varied wording, and as many without."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    filler = lambda: " ".join(word() for _ in range(rng.randrange(5, 30)))
+    kinds = {
+        "email": lambda: f"{rng.choice(['write to', 'contact', 'e-mail', ''])} {word()}.{word()}{rng.choice([' [at] ', '(at)', ' (AT) '])}{word()}{rng.choice(['.', ' [dot] ', '(dot)'])}{rng.choice(['com', 'org', 'de', 'se'])}",
+        "phone": lambda: f"{rng.choice(['call', 'phone', 'my mobile is', ''])} ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}",
+        "secret": lambda: f"{rng.choice(['api_key', 'token', 'password', 'Secret'])}{rng.choice([': ', '=', ' = '])}{''.join(rng.choices('abcdefXYZ0123456789', k=rng.randrange(20, 60)))}1",
+    }
+    rows = [(kind, f"{filler()} {make()} {filler()}") for kind, make in kinds.items() for _ in range(n)]
+    return rows + [("", f"{filler()} version {rng.randrange(10)}.{rng.randrange(30)} of {rng.randrange(1900, 2030)} {filler()}") for _ in range(3 * n)]
+
+
+def test_recall_of_planted_items(spark):
+    rows = planted(4, 200)
+    found = {r.doc_id: r.spans for r in pii.find(docs_of(spark, [t for _, t in rows])).collect()}
+    for kind in ("email", "phone", "secret"):
+        own = [k for k, (want, _) in enumerate(rows) if want == kind]
+        assert sum(f"{kind}:" in found[k] for k in own) >= 0.9 * len(own), kind
+    assert not any(found[k] for k, (want, _) in enumerate(rows) if not want)
+
+
+def test_a_text_beyond_one_batch(spark):
+    text = "lorem ipsum " * 450_000 + "mail a@b.com"
+    r = pii.find(docs_of(spark, [text])).first()
+    assert r.n_email == 1 and r.spans == f"email:{len(text) - 7}:{len(text)}"

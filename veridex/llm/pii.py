@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,19 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Looser patterns that only nominate candidates.
-_LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,8}", re.I)
+_AT = re.compile(r" ?[\[(]at[\])] ?", re.I)
+_LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
 _SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+-]{16,})", re.I)
 _CUES = re.compile(r"token|secret|passw|api[_-]?key|access[_-]?key", re.I)
 _SEEN = re.compile(r"[0-9@]|[\[(]at[\])]", re.I)
 
-# Gazetteers.
-_TOP_LEVEL = frozenset("com org net edu gov info io de fr es uk it nl ch at eu us ca jp br in".split())
-_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "35", "36", "38", "60", "62", "65", "2")
-_CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")
+# Gazetteers. Top-level domains without those of countries, which are the ISO codes that Java knows;
+# ranges of card issuers; calling codes of two digits, as those of one are 1 and 7 and the rest by zone have three.
+_GENERIC = frozenset("com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev page blog shop store online site tech cloud email xyz uk eu su ac".split())
+_ISSUERS = (("2221", "2720"), ("300", "305"), ("34", "34"), ("3528", "3589"), ("36", "39"), ("4", "4"), ("50", "50"), ("51", "55"), ("56", "58"), ("60", "69"))
+_CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_ZONES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 _RESERVED = ("0.", "127.", "255.", "224.")
 _FOR = {
     "email": re.compile(r"e-?mail|contact|write|mailto|address", re.I),
@@ -84,6 +89,32 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return {k: [s for s, good in v if good] for k, v in _matches(text).items()}
 
 
+def _loose_emails(text: str):
+    """Addresses written with (at) or [at]; no part has a greatest length."""
+    end = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _LOOSE_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if found:
+            end = found.end()
+            yield start, end
+
+
+def country_domains(spark) -> frozenset[str]:
+    """Top-level domains of countries, from the ISO codes of the Java library."""
+    return frozenset(c.lower() for c in spark._jvm.java.util.Locale.getISOCountries())
+
+
+def _issued(digits: str) -> bool:
+    return any(a <= digits[: len(a)] <= b for a, b in _ISSUERS)
+
+
+def _callable(digits: str) -> bool:
+    return digits[:1] in ("1", "7") or digits[:2] in _CALLING or digits[:2] in _ZONES
+
+
 def _matches(text: str) -> dict[str, list[tuple[tuple[int, int], bool]]]:
     out: dict[str, list[tuple[tuple[int, int], bool]]] = {k: [] for k in BASE_KINDS}
     out["email"] = [(s, True) for s in _emails(text)]
@@ -102,18 +133,19 @@ def _side(c: str) -> str:
     return "edge" if not c else "space" if c.isspace() else "letter" if c.isalnum() else "other"
 
 
-def _votes(text: str, kind: str, start: int, end: int, good: bool) -> tuple:
+def _votes(text: str, kind: str, start: int, end: int, good: bool, countries: frozenset[str]) -> tuple:
     """(kind, regex, gazetteer, context, features...) of a candidate."""
     span, digits = text[start:end], _digits(text[start:end])
     regex = 1 if good else -1
     if kind == "email":
-        gazetteer = 1 if span.rpartition(".")[2].strip().lower() in _TOP_LEVEL else -1 if span.rpartition(".")[2].isdigit() else 0
+        top = re.split(r"[.\])]", span)[-1].strip().lower()
+        gazetteer = 1 if top in _GENERIC or top in countries else -1 if top.isdigit() else 0
     elif kind == "ip":
         gazetteer = -1 if span.startswith(_RESERVED) else 0
     elif kind == "card":
-        gazetteer = 1 if digits.startswith(_ISSUERS) else -1
+        gazetteer = 1 if _issued(digits) else -1
     elif kind == "phone":
-        gazetteer = 1 if span[0] != "+" and "2" <= digits[:1] <= "9" else 1 if span[0] == "+" and digits.startswith(_CALLING) else -1
+        gazetteer = 1 if span[0] != "+" and "2" <= digits[:1] <= "9" else 1 if span[0] == "+" and _callable(digits) else -1
     else:
         gazetteer = 1 if len(set(span)) >= 10 else -1
     before = text[max(0, start - 40) : start]
@@ -122,25 +154,27 @@ def _votes(text: str, kind: str, start: int, end: int, good: bool) -> tuple:
     return (kind, regex, gazetteer, context, min(len(digits), 20), mixed, _side(text[start - 1 : start]), _side(text[end : end + 1]))
 
 
-def candidates(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[tuple[int, int], tuple]]]:
-    """Base spans, and every other candidate with its votes and features."""
+def candidates(text: str, countries: frozenset[str] = frozenset()) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[tuple[int, int], tuple]]]:
+    """Base spans, and every other candidate, of any length, with its votes and features."""
     if not _SEEN.search(text):
         return {k: [] for k in BASE_KINDS}, []
     found = _matches(text)
     base = {k: [s for s, good in v if good] for k, v in found.items()}
-    others = [((s, e), _votes(text, k, s, e, False)) for k, v in found.items() for (s, e), good in v if not good and e - s <= 64]
-    lower_at = "at]" in text or "at)" in text or "AT]" in text or "AT)" in text
-    more = [("email", m.span()) for m in _LOOSE_EMAIL.finditer(text)] if lower_at else []
+    others = [((s, e), _votes(text, k, s, e, False, countries)) for k, v in found.items() for (s, e), good in v if not good]
+    more = [("email", s) for s in _loose_emails(text)] if "(" in text or "[" in text else []
     more += [("phone", m.span()) for m in _LOOSE_PHONE.finditer(text)]
     if _CUES.search(text):
         more += [("secret", m.span(1)) for m in _SECRET.finditer(text) if any("0" <= c <= "9" for c in m[1])]
+    if not more:
+        return base, others
     taken = sorted(s for v in base.values() for s in v)
     starts = [s for s, _ in taken]
+    furthest = list(accumulate((e for _, e in taken), max))  # the greatest end among the first spans
     for kind, (s, e) in more:
-        k = int(np.searchsorted(starts, e)) if starts else 0
-        if any(b > s for _, b in taken[max(0, k - 8) : k]):
+        k = bisect_left(starts, e)
+        if k and furthest[k - 1] > s:
             continue  # a base span already covers it
-        others.append(((s, e), _votes(text, kind, s, e, True)))
+        others.append(((s, e), _votes(text, kind, s, e, True, countries)))
     return base, others
 
 
@@ -205,21 +239,22 @@ def vote_counts(docs: DataFrame) -> dict[tuple, int]:
         for batch in batches:
             for text in batch.column(0):
                 if t := text.as_py():
-                    base, others = candidates(t)
+                    base, others = candidates(t, countries)
                     seen.update(p for _, p in others)
-                    seen.update(_votes(t, k, *span, True) for k, spans in base.items() for span in spans)
+                    seen.update(_votes(t, k, *span, True, countries) for k, spans in base.items() for span in spans)
         if seen:
             columns = [*zip(*seen), tuple(seen.values())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if isinstance(c[0], str) else pa.array(c, pa.int64()) for c in columns], names)
 
+    countries = country_domains(docs.sparkSession)
     names = ["kind", "regex", "gazetteer", "context", "digits", "mixed", "left_side", "right_side", "n"]
     schema = "kind string, regex long, gazetteer long, context long, digits long, mixed string, left_side string, right_side string, n long"
     rows = docs.select("text").mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n")).collect()
     return {tuple(r)[:-1]: r["n"] for r in rows}
 
 
-def _all_spans(text: str, weights: dict, keep: dict, add_from: float):
-    base, others = candidates(text)
+def _all_spans(text: str, weights: dict, keep: dict, add_from: float, countries: frozenset[str]):
+    base, others = candidates(text, countries)
     added = []
     for span, pattern in others:
         if pattern not in keep:
@@ -233,9 +268,10 @@ def _all_spans(text: str, weights: dict, keep: dict, add_from: float):
 def find(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, as kind:start:end).
 
-    A null or empty text has no spans; without candidates nothing is added. Other columns are not read.
+    A null or empty text has no spans; without candidates nothing is added. Spans and texts may have any length.
+    Repeated rows and null ids give rows of their own, an empty table none. Other columns are not read.
     """
-    weights = train(vote_counts(docs))
+    weights, countries = train(vote_counts(docs)), country_domains(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
 
     def run(batches):
@@ -244,7 +280,7 @@ def find(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                base, first, every = _all_spans(text.as_py() or "", weights, keep, add_from)
+                base, first, every = _all_spans(text.as_py() or "", weights, keep, add_from, countries)
                 rows.append((*(len(base[k]) for k in BASE_KINDS), hashlib.sha256(show(first).encode()).hexdigest(), show(every)))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2))], names)
@@ -255,9 +291,9 @@ def find(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
 def redact(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans become one. Null stays null.
 
-    n_chars, if there is one, follows the new text.
+    Every row and every column stays, whatever its name; n_chars, if there is one, follows the new text.
     """
-    weights = train(vote_counts(docs))
+    weights, countries = train(vote_counts(docs)), country_domains(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -266,7 +302,7 @@ def redact(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
             texts = []
             for value in batch.column(at):
                 text = value.as_py()
-                every = sorted(_all_spans(text, weights, keep, add_from)[2], key=lambda x: (x[1], -x[2])) if text else []
+                every = sorted(_all_spans(text, weights, keep, add_from, countries)[2], key=lambda x: (x[1], -x[2])) if text else []
                 out, end = [], 0
                 for kind, s, e in every:
                     if s >= end:
