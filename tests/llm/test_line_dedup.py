@@ -32,26 +32,36 @@ def test_against_brute_force(spark):
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 25))) for _ in range(60)]
     docs = docs_of(spark, texts)
     for least in (1, 4, 9, 20):
-        found = {r.doc_id: r.text for r in line_dedup.remove_repeated_runs(docs, least).collect()}
+        found = {r.doc_id: r.text for r in line_dedup.without_repeated_runs(docs, least).collect()}
         assert found == brute(list(enumerate(texts)), least), least
 
 
 def test_long_common_run_and_what_stays(spark):
     run = [f"line {k} of a shared passage" for k in range(40)]
     texts = ["\n".join(["start one", *run, "end one"]), "\n".join(["start two", *run, "short tail"]), "\n".join(run[5:12] + ["own"]), "unique words only"]
-    found = {r.doc_id: r for r in line_dedup.remove_repeated_runs(docs_of(spark, texts), 50).collect()}
-    assert found[0].text == texts[0] and found[1].text == "start two\nshort tail" and found[1].n_deleted == 40
-    assert found[2].text == texts[2] and found[3].n_deleted == 0  # seven lines of six words are too few
+    docs = docs_of(spark, texts)
+    left = {r.doc_id: r.text for r in line_dedup.without_repeated_runs(docs, 50).collect()}
+    assert left == {0: texts[0], 1: "start two\nshort tail", 2: texts[2], 3: texts[3]}  # seven lines of six words are too few
+    assert {r.doc_id: (r.n_lines, r.n_deleted) for r in line_dedup.digest(docs, 50).collect()} == {0: (42, 0), 1: (42, 40), 2: (8, 0), 3: (1, 0)}
 
 
 def test_edges(spark, edges, nothing):
-    out = line_dedup.remove_repeated_runs(edges, 3)
-    assert out.columns == [*edges.columns, "n_lines", "n_deleted"] and nothing.sparkSession is not None
-    rows = sorted((r.doc_id or 0, r.text or "", r.n_lines, r.n_deleted) for r in out.collect())
+    out = line_dedup.without_repeated_runs(edges, 3)
+    assert out.columns == edges.columns and [f.dataType for f in out.schema] == [f.dataType for f in edges.schema]
+    rows = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
     # equal rows of one id are one document; its text repeats an earlier one's
-    assert [r[1] for r in rows if r[0] == 4] == ["one two three"] and [(r[1], r[3]) for r in rows if r[0] == 5] == [("", 1)] * 2
-    assert len(rows) == len(EDGES) and [r[2] for r in rows if r[0] in (1, 2)] == [0, 1]
-    assert line_dedup.remove_repeated_runs(nothing).count() == 0
+    assert [t for d, t in rows if d == 4] == ["one two three"] and [t for d, t in rows if d == 5] == ["", ""] and len(rows) == len(EDGES)
+    assert {(r.ids, r.n, r.length, r.media, r["_low"], r.n_lines, r.n_deleted) for r in out.collect()} == {("x", 1, 2, "m", 0.5, 6, 7)}
+    counts = line_dedup.digest(edges, 3).collect()
+    assert [r.n_lines for r in sorted(counts, key=lambda r: r.doc_id or 0) if r.doc_id in (1, 2)] == [0, 1] and len(counts) == len(EDGES)
+    assert line_dedup.without_repeated_runs(nothing).count() == line_dedup.digest(nothing).count() == 0
+
+
+def test_a_text_beyond_four_megabytes(spark):
+    lines = [f"line {k} " + "word " * 10 for k in range(80_000)]
+    texts = ["\n".join(lines), "\n".join(["own start", *lines[1000:1100], "own end"])]
+    left = {r.doc_id: r.text for r in line_dedup.without_repeated_runs(docs_of(spark, texts), 50).collect()}
+    assert len(texts[0]) > 4 << 20 and left == {0: texts[0], 1: "own start\nown end"}
 
 
 def test_suffix_ranks_order_and_shrink(spark):

@@ -80,6 +80,32 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 11]
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    a, b = "one two three four five six seven", "quite another text that has its own words"
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, a.upper(), 3), (1, a, 4), (1, a, 5), (None, b, 6), (None, b, 7), (None, "a third text of a null id alone", 8), (9, "", 9), (9, None, 10)]
+    docs = spark.createDataFrame([(d, t, k, 1, 2.0, "x") for d, t, k in rows], "doc_id long, text string, th int, id int, comp double, none string")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, a), (5, b), (0, "a third text of a null id alone"), (9, ""), (9, "")])
+    nulls = ngram_join.one_of_each(docs.where("doc_id is null"))
+    assert sorted(r.text for r in nulls.collect()) == sorted([b, "a third text of a null id alone"])
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_a_text_beyond_one_step(spark):
+    long = " ".join(f"w{k}" for k in range(900_000))
+    rows = [(0, long), (1, long + " end"), (2, "short text of a few words only")]
+    assert found(docs_of(spark, [t for _, t in rows])) == [(0, 899_996, 0), (1, 899_997, 0), (2, 3, 2)]
+
+
+def test_classes_follow_the_counts_of_all_tasks(spark):
+    docs = docs_of(spark, ["the same five words here"] * 3000 + [f"u{k} v{k} w{k} x{k} y{k}" for k in range(50)]).repartition(7)
+    classes = ngram_join.shingle_classes(docs)
+    one = shingles(np.frombuffer(b"the same five words here", np.uint8), np.array([0, 24]))[0]
+    assert classes.shape == (ngram_join.SKETCH,) and classes[int(one[0]) & (ngram_join.SKETCH - 1)] >= 9 and np.count_nonzero(classes) == 1
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_prefix_guarantee(seed):
     """Linked sets share at least the lesser m within their prefixes, under any order."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridex.llm.common import release, small, stage
+from veridex.llm.common import is_small, release, stage
 
 #: Words from which a repeated run of lines counts.
 MIN_WORDS = 50
@@ -82,7 +82,7 @@ def _windows(symbols: DataFrame, min_words: int) -> DataFrame:
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """did, th, gone: the numbers of the lines to delete, for the documents that have any."""
+    """did, th, ln: the lines to delete."""
     lines = stage(_lines(docs), "lines")
     repeated = _ranked(lines.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["h", "h2"])
     symbols = stage(lines.join(repeated, ["h", "h2"]).select(*_ROW, "ln", "rank", "w").dropDuplicates([*_ROW, "ln"]), "symbols")
@@ -100,34 +100,43 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = stage(sized.withColumn("mid", F.col("last") - F.col("k") + 1).join(ends, [*_ROW, "k", "mid"]).select(*_ROW, "ln", "last", "n", "r1", "r2"), "intervals")
     first = stage(named.groupBy("n", "r1", "r2").agg(F.count("*").alias("m"), F.min(F.struct(*_ROW, "ln")).alias("first")).where("m > 1").drop("m"), "firsts")
     later = named.join(first, ["n", "r1", "r2"]).where(F.struct(*_ROW, "ln") > F.col("first"))
-    gone = later.select(*_ROW, F.explode(F.sequence("ln", "last")).alias("ln")).groupBy(*_ROW).agg(F.collect_set("ln").alias("gone"))
-    out = stage(gone, "gone")
+    out = stage(later.select(*_ROW, F.explode(F.sequence("ln", "last")).alias("ln")).distinct(), "gone")
     release(symbols, windows, *levels[1:], named, first)
     return out
 
 
-def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with repeated line runs deleted from text, plus n_lines and n_deleted.
-
-    Null text stays null with no lines; an empty text is one empty line and stays. Where every line goes, the text
-    is empty and the row stays. Rows equal in doc_id and text count as one document and change alike; a null doc_id
-    comes first in the order. n_chars, if there is one, follows the new text. Columns named _did, _th, _gone are reserved.
-    """
-    gone = small(deleted_lines(docs, min_words).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("gone").alias("_gone")), 200_000)
-    joined = _keyed(docs).join(gone, ["_did", "_th"], "left")
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """The columns of docs as _c0, _c1 and so on, the new text as _new, and the counts _lines and _deleted."""
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(names)], F.col("doc_id"), F.col("text"))
+    lines = deleted_lines(docs, min_words).select(F.col("did").alias("_did"), F.col("th").alias("_th"), "ln")
+    gone = lines.groupBy("_did", "_th").agg(F.collect_set("ln").alias("_gone"))  # at most the lines of one document
+    joined = _keyed(inner).join(F.broadcast(gone) if is_small(lines) else gone, ["_did", "_th"], "left")
     split = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone")), lambda i: F.get(split, i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"), "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": text})
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    return joined.select(*[f"_c{k}" for k in range(len(names))], count.alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_deleted"), text.alias("_new"))
+
+
+def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with repeated line runs deleted from text, and with all their columns whatever their names.
+
+    Null text stays null; an empty text is one empty line and stays. Where every line goes, the text is empty and the
+    row stays. Rows equal in doc_id and text count as one document and change alike; a null doc_id comes first in the
+    order. n_chars, if there is one, follows the new text. Texts and lines may have any length.
+    """
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_lines", "n_deleted")
+        new["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+    return _cleaned(docs, min_words).select(*[new.get(c, F.col(f"_c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_deleted, n_chars and text_sha256 of the text that is left."""
-    out = remove_repeated_runs(docs.select("doc_id", "text"), min_words)
-    return out.select("doc_id", "n_lines", "n_deleted", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"))
+    """doc_id, n_lines, n_deleted, n_chars and text_sha256 of the text that is left; a null text has no lines and counts as empty."""
+    out = _cleaned(docs.select("doc_id", "text"), min_words)
+    sha = F.sha2(F.encode(F.coalesce("_new", F.lit("")), "utf-8"), 256)
+    return out.select(F.col("_c0").alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.coalesce(F.length("_new"), F.lit(0)).cast("long").alias("n_chars"), sha.alias("text_sha256"))
 
 
 ORACLE = r"""

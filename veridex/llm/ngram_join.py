@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridex.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, mix, release, shingles, small, stage, steps, utf8
+from veridex.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, is_small, mix, release, shingles, small, stage, steps, sweep, utf8
 
 #: Counters of the sketch and bits of the filter: 4 MB and 8 MB at any size of input.
 SKETCH, BLOCKS = 1 << 22, 16
@@ -47,34 +47,36 @@ _PARITY_SEED = np.uint64(0x2545F4914F6CDD1D)
 # --- tables of fixed size, summed over tasks ---------------------------------------------
 
 
-def _combined(parts: DataFrame, how: str) -> np.ndarray:
-    """Adds ('sum', 32 bit) or unites ('or', 8 bit) the tasks' blocks (block, data); streams, so no group is held."""
+def _combined(parts: DataFrame, how: str) -> DataFrame:
+    """Adds ('sum', 32 bit) or unites ('or', 8 bit) the tasks' blocks (block, data): one written row per block; streams, so no group is held."""
     width = SKETCH // BLOCKS if how == "sum" else FILTER_BITS // 8 // BLOCKS
 
-    def fold(final: bool):
-        def run(batches):
-            found: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    raw = data.as_py()
-                    kind = np.uint8 if how == "or" or len(raw) == width else np.uint32
-                    values = np.frombuffer(raw, kind)
-                    if how == "or":
-                        found[block] = found[block] | values if block in found else values
-                    else:
-                        if block not in found:
-                            found[block] = np.zeros(width, np.uint32)
-                        found[block] += values
-            for block, values in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0 if final else block % 7], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "part", "data"])
-
-        return run
-
-    schema = "block int, part int, data binary"
-    once = parts.withColumn("part", F.spark_partition_id() % 16).repartition(BLOCKS * 4, "block", "part").select("block", "data").mapInArrow(fold(False), schema)
-    out = np.zeros((BLOCKS, width), np.uint8 if how == "or" else np.uint32)
-    for r in once.repartition(BLOCKS, "block").select("block", "data").mapInArrow(fold(True), schema).collect():
-        out[r["block"]] |= np.frombuffer(r["data"], out.dtype)
+    def fold(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = data.as_py()
+                kind = np.uint8 if how == "or" or len(raw) == width else np.uint32
+                values = np.frombuffer(raw, kind)
+                if how == "or":
+                    found[block] = found[block] | values if block in found else values
+                else:
+                    if block not in found:
+                        found[block] = np.zeros(width, np.uint32)
+                    found[block] += values
+        for block, values in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "data"])
+
+    schema = "block int, data binary"
+    once = parts.withColumn("part", F.spark_partition_id() % 16).repartition(BLOCKS * 4, "block", "part").select("block", "data").mapInArrow(fold, schema)
+    return stage(once.repartition(BLOCKS, "block").select("block", "data").mapInArrow(fold, schema), "table")
+
+
+def _table(blocks: DataFrame, width: int) -> np.ndarray:
+    """The whole table of bytes (4 to 8 MB) from rows of blocks; a block without a row is zero."""
+    out = np.zeros((BLOCKS, width), np.uint8)
+    for block, data in blocks.toLocalIterator():
+        out[block] = np.frombuffer(data, np.uint8)
     return out.ravel()
 
 
@@ -101,8 +103,24 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
             np.add.at(counts, (shingles(data, offsets)[0] & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
         yield from _blocks(np.minimum(counts, 255).astype(np.uint8))
 
-    counts = _combined(docs.select("text").mapInArrow(run, "block int, data binary"), "sum").astype(np.float64)
-    return np.log2(1 + np.maximum(0, counts - 2 * counts.mean() - 2)).astype(np.uint8)
+    def total(batches):
+        for batch in batches:
+            sums = [int(np.frombuffer(x.as_py(), np.uint32).sum(dtype=np.int64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], ["n"])
+
+    counts = _combined(docs.select("text").mapInArrow(run, "block int, data binary"), "sum")
+    mean = (counts.mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0) / SKETCH
+
+    def classes(batches):
+        for batch in batches:
+            for block, data in zip(*batch.columns):
+                n = np.frombuffer(data.as_py(), np.uint32)
+                out = np.log2(1 + np.maximum(0, n - 2 * mean - 2)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "data"])
+
+    out = _table(counts.mapInArrow(classes, "block int, data binary"), SKETCH // BLOCKS)
+    release(counts)
+    return out
 
 
 # --- sets and prefixes -------------------------------------------------------------------
@@ -148,37 +166,45 @@ def _parities(u: np.ndarray) -> list[int]:
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n (set size), fp1, fp2, m, its prefix in the global order and p0 to p7, its parities; an empty set has no prefix."""
+    """Per document, written: rid (its row), doc_id, th (hash of its text), n (set size), fp1, fp2, m, its prefix in the global order and p0 to p7, its parities; an empty set has no prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     extra = [f"p{k}" for k in range(PARITIES)]
-    names = ["doc_id", "n", "fp1", "fp2", "m", "prefix", *extra]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * PARITIES]
+    names = ["doc_id", "th", "n", "fp1", "fp2", "m", "prefix", *extra]
+    kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * PARITIES]
 
     def run(batches):
         table = shared.value
-        for data, offsets, (ids,) in _each(batches):
+        for data, offsets, own in _each(batches):
             s, first = shingles(data, offsets)
             rows = []
-            for k, doc_id in enumerate(ids.to_pylist()):
+            for k, ids in enumerate(zip(*(c.to_pylist() for c in own))):
                 u = np.unique(s[first[k] : first[k + 1]])
                 if not len(u):
-                    rows.append((doc_id, 0, 0, 0, 0, None, *[0] * PARITIES))
+                    rows.append((*ids, 0, 0, 0, 0, None, *[0] * PARITIES))
                     continue
                 rank = table[(u & np.uint64(SKETCH - 1)).astype(np.int64)]
                 order = np.argsort(rank, kind="stable")
                 m = choose(np.exp2(rank[order].astype(np.float64)) - 1)
-                rows.append((doc_id, len(u), *_fingerprints(u), m, u[order[: len(u) - int(needed(len(u))) + m]].view(np.int64), *_parities(u)))
+                rows.append((*ids, len(u), *_fingerprints(u), m, u[order[: len(u) - int(needed(len(u))) + m]].view(np.int64), *_parities(u)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, m int, prefix array<long>, " + ", ".join(f"{c} long" for c in extra))
+    schema = "doc_id long, th long, n long, fp1 long, fp2 long, m int, prefix array<long>, " + ", ".join(f"{c} long" for c in extra)
+    out = stage(_hashed(docs).select("doc_id", "th", "text").mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+    shared.destroy()
+    return out
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, th and text; doc_id and th find a row's document again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 # --- verification ------------------------------------------------------------------------
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and set (sorted hashes) of the wanted classes (cid, fp1, fp2, n), from one document each."""
+    """cid and set (sorted hashes) of the wanted classes (cid, fp1, fp2, n), from one document each, written."""
 
     def bits(batches):
         out = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -187,7 +213,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from _blocks(out)
 
-    shared = docs.sparkSession.sparkContext.broadcast(_combined(wanted.select("fp1").mapInArrow(bits, "block int, data binary"), "or"))
+    filtered = _combined(wanted.select("fp1").mapInArrow(bits, "block int, data binary"), "or")
+    shared = docs.sparkSession.sparkContext.broadcast(_table(filtered, FILTER_BITS // 8 // BLOCKS))
+    release(filtered)
 
     def run(batches):
         table = shared.value
@@ -205,7 +233,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(list(rows.values()), pa.binary())], ["fp1", "fp2", "n", "set"])
 
     found = docs.select("text").mapInArrow(run, "fp1 long, fp2 long, n long, set binary")
-    return found.join(wanted, ["fp1", "fp2", "n"]).dropDuplicates(["cid"]).select("cid", "set")
+    out = stage(found.join(wanted, ["fp1", "fp2", "n"]).dropDuplicates(["cid"]).select("cid", "set"), "sets")
+    shared.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,7 +282,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = mark
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
+    out = stage(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp"))), "components")
+    release(edges)
+    return out
 
 
 # --- all links of a component --------------------------------------------------------------
@@ -325,14 +357,13 @@ def link_counts(comps: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFram
     A component is cut into bands of set sizes, and these into blocks by hash; each pair of blocks that sizes let link is
     a group of its own, so a large component is no hot key.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
-    placed = stage(comps.select(F.col("node").alias("cid"), "comp").join(sizes.select("cid", "n"), "cid").withColumn("band", band), "placed")
+    placed = stage(comps.select(F.col("node").alias("cid"), "comp").join(sizes.select("cid", "n"), "cid").withColumn("band", _band("n")), "placed")
     bands = placed.groupBy("comp", "band").agg(F.count("*").alias("k"), F.sum("n").alias("elements"))
     slots = F.ceil(F.greatest(F.col("elements") / BLOCK_ELEMENTS, F.col("k") / BLOCK_CLASSES)).cast("int")
     whole = (F.sum("k").over(of := Window.partitionBy("comp")) <= BLOCK_CLASSES) & (F.sum("elements").over(of) <= BLOCK_ELEMENTS)
     blocks = bands.withColumns({"slots": slots, "whole": whole})
     layout = stage(blocks.groupBy("comp").agg(F.sum("k").alias("members"), F.first("whole").alias("whole"), F.map_from_entries(F.collect_list(F.struct("band", "slots"))).alias("slots")), "layout")
-    met = placed.join(small(layout, 200_000), "comp")
+    met = placed.join(F.broadcast(layout) if is_small(bands) else layout, "comp")
     # two classes of one component link
     pairs = met.where("members = 2").select("cid", F.lit(1).cast("long").alias("links"))
     slot = F.when(F.col("whole"), 0).otherwise(F.expr("cast(pmod(xxhash64(cid), slots[band]) as int)"))
@@ -384,22 +415,20 @@ def _able(postings: DataFrame, rounds: int = 2) -> DataFrame:
     return postings
 
 
-def similar_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, class_id (equal sets) and, if asked, links (all other classes that its class links to, exactly).
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased. Null, empty and wordless texts have no shingles,
-    no links and themselves as component. Rows with an equal doc_id are documents of their own; a null doc_id
-    never names a component unless all its members' are null. Other columns are not read.
-    """
-    prefixed = stage(prefixes(docs, shingle_classes(docs)).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+def _grouped(docs: DataFrame, count_links: bool) -> DataFrame:
+    """Per row of docs, written: rid, doc_id, th, n, class_id, comp (class of the group), component_id and, if asked, links."""
+    spark = docs.sparkSession
+    prefixed = prefixes(docs, shingle_classes(docs))
     rows = stage(prefixed.drop("prefix", "m"), "rows")
     classes = stage(rows.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     copies = stage(rows.join(classes.where("copies > 1"), ["fp1", "fp2", "n"]).where("rid <> cid").select("rid"), "copies")
     kept = prefixed.where("n > 0").join(small(copies), "rid", "left_anti")
     met = _able(kept.select(F.col("rid").alias("cid"), F.col("n").cast("int").alias("n"), "m", F.posexplode("prefix").alias("pos", "token")))
-    release(prefixed)
+    release(prefixed, copies)
     wanted = stage(classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", "fp1", "fp2", "n"), "wanted")
-    sets = stage(_sets(docs, wanted), "sets")
+    sets = _sets(docs, wanted)
+    release(wanted)
+    sweep(spark)
 
     # first rounds: each class with the most central one of each posting list, then each component's with the first component's
     sizes = classes.select("cid", F.col("n").alias("pn"))
@@ -413,49 +442,107 @@ def similar_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
         pairs = pairs.where("c * 16 >= n").join(sizes.withColumnRenamed("cid", "a"), "a").where(_alike("n", "pn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = verified(pairs, sets)
+        old = [x for x in (tried, links, comps) if x is not None]
         tried = pairs if tried is None else stage(tried.union(pairs), "tried")
         links = found if links is None else stage(links.union(found), "links")
-        comps = stage(components(links), "components")
+        comps = components(links)
+        release(*old, *([pairs, found] if old else []))
+        sweep(spark)
 
     # last round: what is left between components, with all that the places of a shared token allow
+    pairs = _last_pairs(met, comps, rows, tried)
+    release(met, tried)
+    if not pairs.isEmpty():
+        found = verified(pairs, sets)
+        both = stage(links.union(found), "links")
+        release(links, found, comps)
+        links, comps = both, components(both)
+    release(pairs)
+    sweep(spark)
+
+    member = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    named = member.join(member.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
+    if count_links:
+        named = named.join(link_counts(comps, classes, sets), "cid", "left")
+    counted = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] * count_links
+    named = named.select("fp1", "fp2", "n", F.col("cid").alias("class_id"), "comp", "component_id", *counted)
+    out = rows.select("rid", "doc_id", "th", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left").drop("fp1", "fp2")
+    out = stage(out, "grouped")
+    release(rows, classes, sets, links, comps)
+    sweep(spark)
+    return out
+
+
+def _last_pairs(met: DataFrame, comps: DataFrame, rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """a and b, written: the pairs of classes in different components that may link and weren't tried.
+
+    Classes meet under a token and a band of set sizes, so those whose sizes forbid a link aren't compared.
+    """
     placed = _placed(met, comps)
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
-    rest = _able(placed.join(open_tokens, "token", "left_semi").select("cid", "n", "m", "pos", "token"))
+    able = _able(placed.join(open_tokens, "token", "left_semi").select("cid", "n", "m", "pos", "token"))
     extra = [f"p{k}" for k in range(PARITIES)]
-    rest = stage(_placed(rest, comps).join(rows.select(F.col("rid").alias("cid"), *extra), "cid"), "open")
-    columns = ("cid", "n", "m", "pos", "sr", "comp", *extra)
-    x = rest.select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
-    y = rest.select("token", *(F.col(c).alias(f"b_{c}") for c in columns))
+    rest = stage(_placed(able, comps).join(rows.select(F.col("rid").alias("cid"), *extra), "cid").withColumn("band", _band("n")), "open")
+    release(able)
+    columns = ("cid", "n", "m", "pos", "sr", "comp", "band", *extra)
+    x = rest.select("token", F.col("band").alias("at"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    y = rest.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"), *(F.col(c).alias(f"b_{c}") for c in columns))
     # 100 i >= 80 (a + b - i), so i must reach ceil(80 (a + b) / 180)
     least = F.ceil((F.col("a_n") + F.col("b_n")) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT) - 1e-9)
     # before this token only shared ones can be common, after it no more than either set has left
     most = F.least("a_sr", "b_sr") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     # linked sets differ in at most a + b - 2 i elements, and in at least as many as their parities do
     apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in extra[1:]), F.bit_count(F.col(f"a_{extra[0]}").bitwiseXOR(F.col(f"b_{extra[0]}"))))
-    able = (most >= least) & (apart <= F.col("a_n") + F.col("b_n") - 2 * least)
-    crossed = x.join(y, "token").where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_n", "b_n") & able)
+    fit = (most >= least) & (apart <= F.col("a_n") + F.col("b_n") - 2 * least)
+    once = (F.col("a_band") < F.col("b_band")) | (F.col("a_cid") < F.col("b_cid"))
+    crossed = x.join(y, ["token", "at"]).where(once & (F.col("a_comp") != F.col("b_comp")) & _alike("a_n", "b_n") & fit)
     counted = crossed.groupBy("a_cid", "b_cid").agg(F.count("*").alias("c"), F.first("a_m").alias("a_m"), F.first("b_m").alias("b_m"))
-    pairs = counted.where(F.col("c") >= F.least("a_m", "b_m")).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
-    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    release(met, rest)
-    if not pairs.isEmpty():
-        links = stage(links.union(verified(pairs, sets)), "links")
-        comps = stage(components(links), "components")
+    pairs = counted.where(F.col("c") >= F.least("a_m", "b_m")).select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b"))
+    out = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    release(rest)
+    return out
 
-    member = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    named = member.join(member.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
+
+def _band(size: str):
+    """Sizes of linked sets lie in one band or in two that follow each other."""
+    return F.floor(F.log(F.col(size).cast("double")) / float(np.log(BAND))).cast("int")
+
+
+def similar_groups(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, class_id (equal sets) and, if asked, links (all other classes that its class links to, exactly).
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased. Null, empty and wordless texts have no shingles,
+    no links and themselves as component. Rows with an equal doc_id are documents of their own; a null doc_id
+    never names a component unless all its members' are null. Texts may have any length; an empty table gives no rows.
+    Other columns are not read.
+    """
+    counted = ["links"] * count_links
     if count_links:
-        named = named.join(link_counts(comps, classes, sets), "cid", "left")
-    counted = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] * count_links
-    named = named.select("fp1", "fp2", "n", F.col("cid").alias("class_id"), "component_id", *counted)
-    rows = rows.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", *counted)
+        counted = [F.coalesce("links", F.lit(0)).cast("long").alias("links")]
+    return _grouped(docs, count_links).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", *counted)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that link, directly or over others, to a document with a smaller doc_id."""
-    drop = stage(similar_groups(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct(), "drop")
-    return docs.join(small(drop), "doc_id", "left_anti").select(*docs.columns)
+    """docs with exactly one row of each group of rows that link to each other, directly or over others.
+
+    The row with the least doc_id stays, a null one coming last; of rows that share it the one with the least hash of its
+    text, and of repeated rows any one. Rows are known by doc_id and text, so an unrelated text under the same doc_id
+    stays. Rows without words are in no group and all stay. All columns stay, whatever their names.
+    """
+    grouped = _grouped(docs, False)
+    rows = grouped.where("n > 0").select("comp", "th", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    key = ["none", "id", "th"]
+    keys = stage(rows.groupBy("comp", *key).agg(F.count("*").alias("k")), "keys")
+    first = keys.groupBy("comp").agg(F.count("*").alias("keys"), F.min(F.struct(*key)).alias("first"))
+    held = keys.join(first, "comp").where("keys > 1 or k > 1").select(*key, (F.struct(*key) == F.col("first")).alias("stays"), "k")
+    held = stage(held, "held")
+    release(grouped, keys)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("th"))
+    out = named.join(small(held.where("not stays").select(*key)), key, "left_anti")
+    repeated = held.where("stays and k > 1").select(*key)
+    if not repeated.isEmpty():
+        out = out.join(small(repeated), key, "left_anti").unionByName(out.join(small(repeated), key, "left_semi").dropDuplicates(key))
+    return out.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 __all__ = ["SHINGLE_WORDS", "components", "one_of_each", "similar_groups"]
