@@ -10,28 +10,36 @@ from veridex.llm.common import stage, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject as low in quality or toxic."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return judged.where("not rejected").select(*docs.columns)
+    """Documents that the quality classifier doesn't reject as low in quality or toxic.
+
+    Null texts, hosts and paths are judged like others, repeated rows alike; all columns stay, whatever their names.
+    """
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the later copies of repeated line runs."""
-    return line_dedup.remove_repeated_runs(docs).select(*docs.columns)
+    """All documents, without the later copies of repeated line runs.
+
+    Null texts stay null; a text that loses every line is empty; rows equal in doc_id and text change alike.
+    """
+    return line_dedup.without_repeated_runs(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each group of equal or similar ones."""
+    """One row, the one with the least doc_id, of each group of equal or similar ones.
+
+    Rows without words are in no group and stay, as does an unrelated text under a doc_id that occurs twice.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by their kind."""
+    """All rows and columns, with personal data in text replaced by their kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids, packed into sequences."""
+    """Pieces of the documents' token ids, packed into sequences; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
