@@ -30,11 +30,11 @@ SALT = 32
 REJECT_FROM = 0.5
 
 # ASCII classes of the shape features.
-_CLASS = np.zeros((256, 4), np.float64)
-_CLASS[list(b"0123456789"), 0] = 1
-_CLASS[list(b"|#$%&*<>{}[]~^\\=@_"), 1] = 1
-_CLASS[list(b"!?.,;:'\"()-/"), 2] = 1
-_CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3] = 1
+_CLASS = np.zeros((4, 256), bool)
+_CLASS[0, list(b"0123456789")] = True
+_CLASS[1, list(b"|#$%&*<>{}[]~^\\=@_")] = True
+_CLASS[2, list(b"!?.,;:'\"()-/")] = True
+_CLASS[3, list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 SHAPES = 8
 #: Punctuation parts words here; the shape features count it.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -52,9 +52,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     keys = np.unique((doc * BUCKETS) | (mix(h) >> np.uint64(46)).astype(np.int64))
     starts = np.searchsorted(keys, np.arange(docs + 1, dtype=np.int64) * BUCKETS)
     size, n = np.maximum(np.diff(offsets), 1), np.maximum(count, 1)
-    sums = np.concatenate([np.zeros((1, 4)), np.cumsum(_CLASS[data], axis=0)])
     shape = np.empty((docs, SHAPES))
-    shape[:, :4] = (sums[offsets[1:]] - sums[offsets[:-1]]) / size[:, None]
+    for k, members in enumerate(_CLASS):
+        at = np.searchsorted(np.flatnonzero(members[data]), offsets)
+        shape[:, k] = np.diff(at) / size
     total = np.concatenate([[0], np.cumsum(length)])
     shape[:, 4] = (total[first[1:]] - total[first[:-1]]) / n
     shape[:, 5] = np.diff(starts) / n
@@ -159,19 +160,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     return fit(first, b.flatten().to_numpy(), s.flatten().to_numpy().reshape(-1, SHAPES), labelled)
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns of every document with _low and _toxic, the classifier's log-odds; null without a model.
 
     The result is written, so that texts are read once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
-    frame = docs.select(*keep, F.col("text").alias("_text"))
+    frame = docs.select(*keep, *([] if text in keep else [text]))
+    at = frame.columns.index(text)
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_low", T.DoubleType()), T.StructField("_toxic", T.DoubleType())])
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(batch.column(at))
             odds = np.full((batch.num_rows, 2), np.nan)
             if m is not None:
                 for i, j in steps(offsets):
@@ -236,8 +238,9 @@ def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample_row
     """The kept columns as _c0, _c1 and so on, with _p_low, _host_low, _path_low, the same of toxic, and _rejected."""
     model = train(docs, labels, sample_rows)
     inner = [f"_c{k}" for k in range(len(keep))]
-    named = docs.select(*[F.col(c).alias(i) for i, c in zip(inner, keep)], F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), F.col("text"))
-    scored = score(named, model, [*inner, "_host", "_path"])
+    text = inner[keep.index("text")] if "text" in keep else "text"  # texts go to the scorer once
+    named = docs.select(*[F.col(f"`{c}`").alias(i) for i, c in zip(inner, keep)], F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), *([F.col("text")] if text == "text" else []))
+    scored = score(named, model, [*inner, "_host", "_path"], text)
     sites, rate, k_host, k_path = site_evidence(scored)
     sites = sites.withColumnsRenamed({"_host": "_h", "_path": "_p"})
     same = scored["_host"].eqNullSafe(sites["_h"]) & scored["_path"].eqNullSafe(sites["_p"])
