@@ -83,9 +83,54 @@ def test_longest_prefix_normalisation():
     m = CharacterMap(compiled(pairs))
     assert m.longest(b"abcx", 0) == (b"<ab>", 2) and m.longest(b"abcd", 0) == (b"!", 4) and m.longest(b"xa", 1) == (b"A", 1)
     assert m.longest(b"x", 0) == (b"", 0) and CharacterMap(b"").longest(b"a", 0) == (b"", 0)
+    assert m.swaps(b"xabcab") == [(1, 2, b"<ab>"), (4, 2, b"<ab>")] and CharacterMap(b"").swaps(b"abc") == []
     c = object.__new__(Codec)
     c.map, c.dummy, c.squeeze, c.escape, c.suffix = m, True, True, True, False
     normal, source = c.normalise("  ﬁ  é abcd ")
     assert normal.decode() == "▁fi▁e▁!"
     text = "  ﬁ  é abcd ".encode()
     assert source[3] == 2 and source[4] == 2 and text[source[-2] :][:4] == b"abcd" and len(source) == len(normal) + 1
+
+
+@pytest.fixture(scope="module")
+def mapped(tmp_path_factory):
+    """The model with the library's own character map, with and without squeezing of white space."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rules = pb.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    out = []
+    for squeeze in (False, True):
+        proto = pb.ModelProto()
+        with open(PATH, "rb") as f:
+            proto.ParseFromString(f.read())
+        proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+        proto.normalizer_spec.remove_extra_whitespaces = squeeze
+        path = tmp_path_factory.mktemp("model") / "mapped.model"
+        path.write_bytes(proto.SerializeToString())
+        out.append(str(path))
+    return out
+
+
+def test_whole_results_on_a_model_with_a_map(spark, sf, mapped):
+    rng = random.Random(6)
+    odd = ["ﬁne ﬂow", "①②③ ½", "ｆｕｌｌ　ｗｉｄｔｈ", "e\u0301te\u0301", "한국어 각", "㌔ meter", "a\u00a0b\u2003c", "ϓ ﷺ", "\u200bzero", "  ﬁ  ", "\t\n ﬁ"]
+    texts = ODD + odd + ["".join(rng.choice("ab  ﬁ①é\u0301ｗ　\n½.1") for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    for path in mapped:
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        assert len(Codec(path).map.units) > 1000
+        found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digest(docs_of(spark, texts), path).collect()}
+        assert found == {k: expected(library, t) for k, t in enumerate(texts)}
+        for r in encode_with_offsets(docs_of(spark, odd), path).collect():
+            data, spans = odd[r.doc_id].encode(), list(zip(r.begins, r.ends))
+            assert all(0 <= b <= e <= len(data) for b, e in spans) and all(x[1] <= y[1] and x[0] <= y[0] for x, y in zip(spans, spans[1:]))
+    c = Codec(mapped[0])
+    (_, spans), = c.encode(["a ﬁ b"])
+    assert spans[-1].tolist() == [5, 7] and spans[0].tolist()[0] == 0
+
+
+def test_a_text_beyond_four_megabytes(spark, library):
+    text = "lorem ipsum dolor sit amet " * 170_000
+    r = digest(docs_of(spark, [text]), PATH).first()
+    assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expected(library, text)
