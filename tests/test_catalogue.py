@@ -2,7 +2,7 @@
 
 import pytest
 
-from veridex.plans.catalogue import ORACLE, QUERIES
+from veridex.plans.queries import ORACLE, QUERIES
 
 
 def plain(value):

@@ -3,26 +3,43 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 # Names whose values are never shown.
-SENSITIVE = ("api_key", "apikey", "authorization", "access_token", "refresh_token", "token", "password", "passwd", "secret", "credential", "private_key", "cookie")
+SENSITIVE = ("api_key", "password", "token", "secret", "authorization", "x-api-key", "bearer")
 MASK = "***"
 
 
-def is_sensitive(key: str) -> bool:
-    """Whether a key names a secret: as a whole, as a dotted segment, or as the end of a compound like x_password or x-token."""
-    parts = re.split(r"[.\[\]]+", key.lower().replace("-", "_"))
-    return any(p == s or p.endswith("_" + s) for p in parts for s in SENSITIVE)
+def is_sensitive(key: str, names: tuple[str, ...] = SENSITIVE) -> bool:
+    """Whether a key names a secret: as a whole, as a dotted segment, or, for names of several words, as the last words of a longer key.
 
+    So x-api-key is one by api_key, while token_count, page_token and api_key_v2 aren't.
+    """
+    key = key.lower()
+    if key in names or set(key.split(".")) & set(names):
+        return True
+    words = re.split("[_-]", key)
+    compound = [parts for n in names if len(parts := re.split("[_-]", n)) > 1]
+    return len(words) > 1 and any(words[-len(parts) :] == parts for parts in compound)
 
-def redact_values(text: Column) -> Column:
-    """key: value and key=value with a sensitive key lose the value, up to a comma, a semicolon or a line's end."""
-    keys = "|".join(re.escape(s).replace("_", "[_-]?") for s in SENSITIVE)
-    return F.regexp_replace(text, rf"(?i)({keys})([ \t]*[:=][ \t]*)[^,;\n]+", "$1$2" + MASK)
+
+def _sensitive_key(key: Column, names: tuple[str, ...] = SENSITIVE) -> Column:
+    """is_sensitive as a column."""
+    low = F.lower(key)
+    plain = "|".join(re.escape(n) for n in names)
+    compound = "|".join("[_-]".join(map(re.escape, parts)) for n in names if len(parts := re.split("[_-]", n)) > 1)
+    return low.rlike(rf"(^|\.)({plain})(\.|$)") | low.rlike(rf"(^|[_-])({compound})$")
+
+
+def redact_values(text: Column, names: tuple[str, ...] = SENSITIVE) -> Column:
+    """key: value and key = value with a sensitive key become key=***, up to a comma or a semicolon."""
+    keys = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    return F.regexp_replace(text, rf"(?i)({keys})\s*[:=]\s*[^,;]+", "$1=" + MASK)
 
 
 def redact_columns(df, names: list[str] | None = None):
@@ -36,53 +53,68 @@ def redact_columns(df, names: list[str] | None = None):
         if isinstance(kind, ArrayType):
             return F.transform(c, lambda x: cleaned(x, kind.elementType, ""))
         if isinstance(kind, MapType) and isinstance(kind.valueType, StringType):
-            pattern = "(?i)(^|[.\\]])([a-z0-9-]*_)*(" + "|".join(SENSITIVE) + ")($|[.\\[])"
-            return F.transform_values(c, lambda k, v: F.when(F.regexp_replace(k, "-", "_").rlike(pattern), F.lit(MASK)).otherwise(redact_values(v)))
+            return F.transform_values(c, lambda k, v: F.when(_sensitive_key(k), F.lit(MASK)).otherwise(redact_values(v)))
         return redact_values(c) if isinstance(kind, StringType) else c
 
     chosen = names or df.columns
     return df.select(*[cleaned(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) if f.name in chosen else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def _double(text: Column) -> Column:
+    return F.regexp_replace(text, ",", "").try_cast("double")
+
+
 def numeric_match(given: Column, wanted: Column, tolerance: float = 1e-4) -> Column:
-    """Equal numbers within a relative tolerance, else equal text whatever its case and outer blanks; null matches null."""
-    a, b = F.trim(given).try_cast("double"), F.trim(wanted).try_cast("double")
-    near = F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1e-12))
-    text = F.lower(F.trim(given)).eqNullSafe(F.lower(F.trim(wanted)))
-    return F.when(a.isNotNull() & b.isNotNull(), near | (a == b)).otherwise(text)
+    """Equal numbers, or numbers within a relative tolerance, whatever their thousands' commas and a percent sign; else equal text whatever its case. Null matches null."""
+    a, b = (F.trim(F.regexp_replace(F.trim(c), "%+$", "")) for c in (given, wanted))
+    x, y = _double(a), _double(b)
+    near = (x == y) | ((y != 0) & (F.abs(x - y) < tolerance * F.abs(y)))
+    return F.coalesce(near, F.lit(False)) | F.lower(a).eqNullSafe(F.lower(b))
 
 
-def normal_list(text: Column) -> Column:
-    """A list answer in any brackets: items split at commas or semicolons, trimmed, unquoted, lower-cased, sorted."""
-    inner = F.regexp_replace(F.trim(text), r"^[\[({]|[\])}]$", "")
-    items = F.transform(F.split(inner, r"[,;]"), lambda x: F.lower(F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")))
-    return F.array_sort(F.filter(items, lambda x: x != ""))
+_NUMBER = r"[-+]?\d*\.?\d+"
 
 
-def normal_groups(text: Column) -> Column:
-    """A grouped list like [a: 1, b: 2]: sorted pairs, the value rounded to 2 places where it is a number."""
+def last_number(text: Column) -> Column:
+    """The last number in a text, null without one."""
+    found = F.regexp_extract_all(text, F.lit(f"({_NUMBER})"), F.lit(1))
+    return F.when(F.size(found) > 0, F.element_at(found, -1)).cast("double")
+
+
+def normal_list(text: Column) -> Column:
+    """The items of a list answer, parted by commas, semicolons or white space, sorted."""
+    return F.array_sort(F.filter(F.split(text, r"[,;\s]+"), lambda x: x != ""))
 
-    def pair(x: Column) -> Column:
-        key, value = F.trim(F.split_part(x, F.lit(":"), F.lit(1))), F.trim(F.split_part(x, F.lit(":"), F.lit(2)))
-        number = F.round(value.try_cast("double"), 2)
-        return F.concat_ws(":", key, F.coalesce(number.cast("string"), value))
 
-    return F.array_sort(F.transform(normal_list(text), pair))
+def normal_groups(text: Column) -> Column:
+    """A grouped list like a: 1; b: 2 as (value, group) structs, the smallest value first; parts without a number are left out."""
+    pattern = rf"^([^:]+):\s*({_NUMBER})"
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x.rlike(pattern))
+    pair = lambda x: F.struct(F.regexp_extract(x, pattern, 2).cast("double").alias("value"), F.trim(F.regexp_extract(x, pattern, 1)).alias("name"))
+    return F.array_sort(F.transform(parts, pair))
 
 
 def answer_kind(guideline: Column) -> Column:
-    """What a guideline asks for: grouped_list, list, number or text."""
+    """What a guideline asks for: grouped_list, list, number, text or not_applicable."""
     g = F.lower(guideline)
+    has = lambda *words: reduce(or_, [g.contains(w) for w in words])
     return (
-        F.when(g.contains("grouped") | g.contains(": {"), "grouped_list").when(g.contains("list") | g.contains("comma"), "list")
-        .when(g.contains("number") | g.contains("decimal") | g.contains("round"), "number").otherwise("text")
+        F.when(has("group") & has("broken down", "grouping"), "grouped_list").when(has("list", "comma separated"), "list")
+        .when(has("number", "decimal"), "number").when(has("yes or no", "yes/no"), "text").otherwise("not_applicable")
     )
 
 
 def answers_match(given: Column, wanted: Column, what: Column, tolerance: float = 1e-5) -> Column:
-    """Answers compared as their kind asks."""
-    clean = lambda c: F.regexp_replace(F.trim(c), r"[$€£%,]", "")
-    return (
-        F.when(what == "number", numeric_match(clean(given), clean(wanted), tolerance)).when(what == "list", normal_list(given) == normal_list(wanted))
-        .when(what == "grouped_list", normal_groups(given) == normal_groups(wanted)).otherwise(F.lower(F.trim(given)).eqNullSafe(F.lower(F.trim(wanted))))
+    """Answers compared as their kind asks; "not applicable" matches itself only. Null matches null."""
+    a, b = F.trim(given), F.trim(wanted)
+    nothing = lambda c: F.coalesce(F.lower(c) == "not applicable", F.lit(False))
+    x, y = last_number(a), last_number(b)
+    text = F.lower(a).eqNullSafe(F.lower(b))
+    close = (F.round(x, 10) == F.round(y, 10)) | F.when(y == 0, F.abs(x) < tolerance).otherwise(F.abs(x - y) < tolerance * F.abs(y))
+    # a text without a number stays as it is
+    numbers = F.when(x.isNotNull() & y.isNotNull(), close).otherwise(x.isNull() & y.isNull() & a.eqNullSafe(b))
+    same = (
+        F.when(what == "number", numbers).when(what == "list", normal_list(a).eqNullSafe(normal_list(b)))
+        .when(what == "grouped_list", normal_groups(a).eqNullSafe(normal_groups(b))).when(what == "text", text).otherwise(a.eqNullSafe(b))
     )
+    return F.when(nothing(a) | nothing(b), nothing(a) & nothing(b)).when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)

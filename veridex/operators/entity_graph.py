@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegralType, FractionalType
+from pyspark.sql.types import ArrayType, BooleanType, FractionalType, IntegralType
 
 from veridex.plans.errors import GraphError
 
@@ -72,7 +73,7 @@ class Parent:
 
 @dataclass(frozen=True)
 class NodeMapping:
-    """tables: one, or several to unite; join: two tables joined instead. properties: name -> column, expression, or ${column} text."""
+    """tables: one, or several to unite; join: two tables joined instead. properties: name -> column, expression, or ${column} text. parents: further strong parents."""
 
     label: str
     key: tuple[str, ...]
@@ -80,11 +81,31 @@ class NodeMapping:
     join: Join | None = None
     properties: dict[str, str] = field(default_factory=dict, hash=False)
     parent: Parent | None = None
+    parents: tuple[Parent, ...] = ()
+
+    def strong(self) -> tuple[Parent, ...]:
+        return (*([self.parent] if self.parent else []), *self.parents)
+
+
+@dataclass(frozen=True)
+class Route:
+    """One of several edges that a row makes; role: the value of the mapping's role column that it is for, None for every row."""
+
+    label: str
+    src: str
+    src_columns: tuple[str, ...]
+    dst: str
+    dst_columns: tuple[str, ...]
+    role: str | None = None
 
 
 @dataclass(frozen=True)
 class EdgeMapping:
-    """src_columns and dst_columns hold the ends' keys in the table; condition is a predicate, where ${column} means the column."""
+    """src_columns and dst_columns hold the ends' keys in the table; condition is a predicate, where ${column} means the column.
+
+    With routes a row, such as an event, makes an edge for each route whose role is the row's; the mapping's own ends
+    are one of them, unless it has a role column.
+    """
 
     label: str
     table: str
@@ -94,6 +115,12 @@ class EdgeMapping:
     dst_columns: tuple[str, ...]
     condition: str | None = None
     properties: dict[str, str] = field(default_factory=dict, hash=False)
+    routes: tuple[Route, ...] = ()
+    role_column: str | None = None
+
+    def all_routes(self) -> tuple[Route, ...]:
+        own = () if self.role_column else (Route(self.label, self.src, self.src_columns, self.dst, self.dst_columns),)
+        return (*own, *self.routes)
 
 
 @dataclass(frozen=True)
@@ -126,14 +153,13 @@ class Mapping:
                 if keys and len(n.tables) == 1 and keys.get(t) and list(n.key) != list(keys[t]):
                     out.append(f"{n.label}: key {','.join(n.key)} isn't the primary key of {t}")
             kind = next((e for e in schema.entities if e.label == n.label), None)
-            if kind and kind.kind == "weak" and n.parent is None:
+            if kind and kind.kind == "weak" and not n.strong():
                 out.append(f"{n.label} is weak and maps no parent")
-            if n.parent and n.parent.label not in mapped:
-                out.append(f"{n.label}: parent {n.parent.label} isn't mapped")
+            out += [f"{n.label}: parent {p.label} isn't mapped" for p in n.strong() if p.label not in mapped]
         if not partial:
             for e in self.edges:
                 out += [f"{e.label}: no table {e.table}" for _ in [0] if e.table not in tables]
-                out += [f"{e.label}: {x} isn't mapped" for x in (e.src, e.dst) if x not in mapped]
+                out += [f"{e.label}: {x} isn't mapped" for r in e.all_routes() for x in (r.src, r.dst) if x not in mapped]
         return out
 
 
@@ -174,64 +200,144 @@ class Compiler:
         parts = re.split(r"\$\{(\w+)\}", text)
         return F.concat(*[F.col(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts) if p])
 
+    def _mapped(self, label: str) -> NodeMapping:
+        found = next((m for m in self.mapping.nodes if m.label == label), None)
+        if found is None:
+            raise GraphError(f"no node mapping {label}")
+        return found
+
+    def _typed(self, n: NodeMapping, rows: DataFrame) -> DataFrame:
+        return rows.select(self.key(n.label, n.key).alias("id"), *[self._value(v).alias(p) for p, v in n.properties.items()]).where("id is not null")
+
     def typed_nodes(self, label: str) -> DataFrame:
-        """id and typed properties of one label, without orphans' parents; nodes of united tables count once."""
-        n = next(m for m in self.mapping.nodes if m.label == label)
-        rows = self.rows(n).select(self.key(n.label, n.key).alias("id"), *[self._value(v).alias(p) for p, v in n.properties.items()]).where("id is not null")
-        return rows.dropDuplicates(["id"]) if len(n.tables) > 1 else rows
+        """id and typed properties of one label, without orphans' parents."""
+        n = self._mapped(label)
+        return self._typed(n, self.rows(n))
 
-    def duplicates(self, label: str) -> DataFrame:
-        """id and n of the keys that occur more than once in the label's source."""
-        n = next(m for m in self.mapping.nodes if m.label == label)
-        return self.rows(n).select(self.key(n.label, n.key).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    def duplicates(self, label: str | None = None) -> DataFrame:
+        """id and n of the keys that occur more than once in a label's source, united tables taken together; of all labels in one pass if none is given."""
+        chosen = [self._mapped(label)] if label else self.mapping.nodes
+        keys = reduce(DataFrame.union, [self.rows(n).select(self.key(n.label, n.key).alias("id")) for n in chosen])
+        return keys.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
-    def orphans(self) -> DataFrame:
+    def orphans(self, label: str | None = None) -> DataFrame:
         """id, label, properties of parents that weak rows name but no table has: one Unknown_<Label> node per key."""
-        out = None
+        found = []
         for n in self.mapping.nodes:
-            if n.parent is None:
-                continue
-            wanted = self.rows(n).select(self.key(n.parent.label, n.parent.columns).alias("id")).where("id is not null").distinct()
-            missing = wanted.join(self.typed_nodes(n.parent.label).select("id"), "id", "left_anti")
-            part = missing.select("id", F.lit(n.parent.label).alias("label"), F.create_map(F.lit("name"), F.lit(f"Unknown_{n.parent.label}")).alias("properties"))
-            out = part if out is None else out.union(part)
-        if out is None:
+            for p in n.strong():
+                if label in (None, p.label):
+                    wanted = self.rows(n).select(self.key(p.label, p.columns).alias("id")).where("id is not null").distinct()
+                    missing = wanted.join(self.typed_nodes(p.label).select("id"), "id", "left_anti")
+                    found.append(missing.select("id", F.lit(p.label).alias("label"), F.create_map(F.lit("name"), F.lit(f"Unknown_{p.label}")).alias("properties")))
+        if not found:
             first = self.mapping.nodes[0]
             return self.typed_nodes(first.label).limit(0).select("id", F.lit("").alias("label"), F.create_map(F.lit("name"), F.lit("")).alias("properties"))
-        return out.dropDuplicates(["id"])
+        # the label is a key too, so that a filter on it prunes the other labels' parts
+        return reduce(DataFrame.union, found).dropDuplicates(["id", "label"]) if len(found) > 1 else found[0]
 
-    def nodes(self, check: bool = True) -> DataFrame:
-        """id, label, properties of all labels. Where check is set, a duplicate key is an error."""
-        out = self.orphans()
-        for n in self.mapping.nodes:
-            if check and len(n.tables) <= 1 and (twice := self.duplicates(n.label).head()):
-                raise GraphError(f"{n.label}: key {twice['id']} occurs {twice['n']} times")
-            typed = self.typed_nodes(n.label)
-            pairs = [x for c in typed.columns[1:] for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
-            properties = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
-            out = out.union(typed.select("id", F.lit(n.label).alias("label"), properties.alias("properties")))
-        return out
+    @staticmethod
+    def _as_graph(typed: DataFrame, label: str) -> DataFrame:
+        pairs = [x for c in typed.columns[1:] for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+        properties = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+        return typed.select("id", F.lit(label).alias("label"), properties.alias("properties"))
+
+    def nodes(self, check: bool = True, labels: list[str] | None = None) -> DataFrame:
+        """id, label, properties of all labels or of some. Where check is set, a duplicate key is an error, looked for in one pass."""
+        if check and (twice := self.duplicates().head()):
+            raise GraphError(f"{twice['id'].partition(':')[0]}: key {twice['id']} occurs {twice['n']} times")
+        chosen = labels if labels is not None else [n.label for n in self.mapping.nodes]
+        parents = [p for p in dict.fromkeys(p.label for n in self.mapping.nodes for p in n.strong()) if p in chosen]
+        parts = [self._as_graph(self.typed_nodes(label), label) for label in chosen]
+        if parents:
+            parts.append(self.orphans() if labels is None else reduce(DataFrame.union, [self.orphans(p) for p in parents]))
+        if not parts:
+            return self.orphans("")
+        return reduce(DataFrame.union, parts)
+
+    def _keyed(self, rows: DataFrame, columns: tuple[str, ...], id_: str) -> DataFrame:
+        """The rows whose key columns make the id, as comparisons of columns that reach the scan."""
+        key = id_.partition(":")[2]
+        values = key.split("|") if len(columns) > 1 else [key]
+        if len(values) != len(columns):
+            return rows.limit(0)
+        kinds = dict(rows.dtypes)
+        for c, v in zip(columns, values):
+            rows = rows.where(F.col(f"`{c}`") == F.lit(v).try_cast(kinds[c]))
+        return rows.where(self.key("", columns) == f":{key}")
+
+    def lookup(self, id_: str) -> DataFrame:
+        """id, label, properties of one node; only its label's sources are read, filtered by the key."""
+        label = id_.partition(":")[0]
+        if label not in {n.label for n in self.mapping.nodes}:
+            return self.orphans("")
+        n = self._mapped(label)
+        own = self._as_graph(self._typed(n, self._keyed(self.rows(n), n.key, id_)), label)
+        lost = [self._keyed(self.rows(m), p.columns, id_).limit(1) for m in self.mapping.nodes for p in m.strong() if p.label == label]
+        if not lost:
+            return own
+        named = reduce(DataFrame.union, [x.select(F.lit(id_).alias("id")) for x in lost]).distinct().join(own.select("id"), "id", "left_anti")
+        return own.union(named.select("id", F.lit(label).alias("label"), F.create_map(F.lit("name"), F.lit(f"Unknown_{label}")).alias("properties")))
 
     def edges(self, label: str | None = None) -> DataFrame:
         """src, dst, label, properties; rows with a null end, or that fail the condition, make no edge."""
-        out = None
-        for e in self.mapping.edges:
-            if label is not None and e.label != label:
-                continue
-            rows = self.table(e.table)
-            if e.condition:
-                rows = rows.where(F.expr(re.sub(r"\$\{(\w+)\}", r"`\1`", e.condition)))
-            pairs = [x for p, v in e.properties.items() for x in (F.lit(p), self._value(v).cast("string"))]
-            properties = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-            part = rows.select(self.key(e.src, e.src_columns).alias("src"), self.key(e.dst, e.dst_columns).alias("dst"), F.lit(e.label).alias("label"), properties.alias("properties"))
-            part = part.where("src is not null and dst is not null")
-            out = part if out is None else out.union(part)
-        if out is None:
+        out = [self._routed(e, self._edge_rows(e), []) for e in self.mapping.edges if label is None or label in {r.label for r in e.all_routes()}]
+        if not out:
             raise GraphError(f"no edge mapping {label or ''}")
-        return out
+        every = reduce(DataFrame.union, out)
+        return every if label is None else every.where(F.col("label") == label)
+
+    def _edge_rows(self, e: EdgeMapping) -> DataFrame:
+        rows = self.table(e.table)
+        return rows.where(F.expr(re.sub(r"\$\{(\w+)\}", r"`\1`", e.condition))) if e.condition else rows
+
+    def _routed(self, e: EdgeMapping, rows: DataFrame, only: list[Route]) -> DataFrame:
+        """Edges of a mapping's rows over all or some of its routes; several routes cost one scan."""
+        routes = only or e.all_routes()
+        pairs = [x for p, v in e.properties.items() for x in (F.lit(p), self._value(v).cast("string"))]
+        properties = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+        def ends(r: Route) -> F.Column:
+            here = F.struct(self.key(r.src, r.src_columns).alias("src"), self.key(r.dst, r.dst_columns).alias("dst"), F.lit(r.label).alias("label"))
+            return here if r.role is None or not e.role_column else F.when(F.col(f"`{e.role_column}`").cast("string") == r.role, here)
+
+        if len(routes) == 1:
+            out = rows.select(ends(routes[0]).alias("e"), properties.alias("properties"))
+        else:
+            out = rows.select(F.explode(F.array(*map(ends, routes))).alias("e"), properties.alias("properties"))
+        return out.select("e.src", "e.dst", "e.label", "properties").where("src is not null and dst is not null")
+
+    def neighbours(self, id_: str) -> DataFrame:
+        """direction, label, other, properties of every edge of one node; tables are filtered by the node's key."""
+        label, found = id_.partition(":")[0], []
+        for e in self.mapping.edges:
+            for r in e.all_routes():
+                for end, columns, direction, other in ((r.src, r.src_columns, "out", "dst"), (r.dst, r.dst_columns, "in", "src")):
+                    if end == label:
+                        rows = self._routed(e, self._keyed(self._edge_rows(e), columns, id_), [r])
+                        found.append(rows.select(F.lit(direction).alias("direction"), "label", F.col(other).alias("other"), "properties"))
+        if not found:
+            raise GraphError(f"no edges of {label}")
+        return reduce(DataFrame.union, found)
+
+    def catalog(self) -> DataFrame:
+        """kind, label, n, properties (name: type), example (JSON) and the labels of an edge's ends, one row per label; types are those of the columns."""
+        parts = []
+        for n in self.mapping.nodes:
+            typed = self.typed_nodes(n.label)
+            types = ", ".join(f"{c}: {t}" for c, t in property_types(typed.drop("id")).items())
+            whole = typed.agg(F.count("*").alias("n"), F.min(F.to_json(F.struct(*typed.columns))).alias("example"))
+            none = F.lit(None).cast("string")
+            parts.append(whole.select(F.lit("node").alias("kind"), F.lit(n.label).alias("label"), "n", F.lit(types).alias("properties"), "example", none.alias("src_label"), none.alias("dst_label")))
+        for e in self.mapping.edges:
+            rows = self._routed(e, self._edge_rows(e), [])
+            types = ", ".join(f"{p}: {t}" for p, t in property_types(self.table(e.table).select(*[self._value(v).alias(p) for p, v in e.properties.items()])).items()) if e.properties else ""
+            ends = rows.groupBy("label", F.split_part("src", F.lit(":"), F.lit(1)).alias("src_label"), F.split_part("dst", F.lit(":"), F.lit(1)).alias("dst_label"))
+            seen = ends.agg(F.count("*").alias("n"), F.min(F.to_json(F.struct("src", "dst", "properties"))).alias("example"))
+            parts.append(seen.select(F.lit("edge").alias("kind"), "label", "n", F.lit(types).alias("properties"), "example", "src_label", "dst_label"))
+        return reduce(DataFrame.union, parts)
 
 
 def property_types(df: DataFrame) -> dict[str, str]:
-    """Column -> INT64, DOUBLE, BOOL or STRING, as a graph store names them."""
-    name = lambda t: "INT64" if isinstance(t, IntegralType) else "DOUBLE" if isinstance(t, FractionalType) else "BOOL" if isinstance(t, BooleanType) else "STRING"
+    """Column -> INT64, DOUBLE, BOOL, STRING[] or STRING, as a graph store names them."""
+    name = lambda t: "STRING[]" if isinstance(t, ArrayType) else "INT64" if isinstance(t, IntegralType) else "DOUBLE" if isinstance(t, FractionalType) else "BOOL" if isinstance(t, BooleanType) else "STRING"
     return {f.name: name(f.dataType) for f in df.schema.fields}

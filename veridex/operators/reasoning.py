@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ STEPS = "id string, description string, method string, confidence double, timest
 REFERENCES = "id string, osi_type string, osi_name string, definition string"
 SOURCES = "id string, source_type string, turn_number long, query_sql string"
 EDGES = "src string, dst string, label string, dependency string, merged boolean"
-LABELS = ("supports", "derived_from", "refers_to", "from_source", "equivalent_to")
+# Labels of edges and nodes.
+LABELS = ("input_to", "outputs", "references", "sourced_from", "equivalent_to")
+NODE_LABELS = ("Fact", "ReasoningStep", "OSIRef", "Source")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -20,15 +24,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n", "_age")
 
 
-def merge_synonyms(facts: DataFrame, edges: DataFrame, transitive: bool = False, rounds: int = 20) -> DataFrame:
-    """facts with merged_into set from merged equivalent_to edges (src into dst, the least dst of several).
+def merge_synonyms(facts: DataFrame, edges: DataFrame, transitive: bool = False, rounds: int = 20, write=None) -> DataFrame:
+    """facts with merged_into set from merged equivalent_to edges: the fact that an edge leads to is merged into the one it starts from (the least of several).
 
-    transitive follows chains to their end, at most 2**rounds links long; a cycle ends at its least id.
+    transitive follows chains to their end, at most 2**rounds links long; a cycle ends at its least id. write, if
+    given, writes a table and reads it back, which ends the plan of each round.
     """
-    into = edges.where("label = 'equivalent_to' and merged").where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_into"))
+    into = edges.where("label = 'equivalent_to' and merged").where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("_into"))
     if transitive:
         further = F.col("_next").isNotNull() & (F.col("_next") != F.col("id"))
         for _ in range(rounds):
+            into = write(into) if write else into
             nexts = into.select(F.col("id").alias("_at"), F.col("_into").alias("_next"))
             step = into.join(nexts, F.col("_into") == F.col("_at"), "left")
             if step.where(further).isEmpty():
@@ -39,16 +45,16 @@ def merge_synonyms(facts: DataFrame, edges: DataFrame, transitive: bool = False,
 
 def ontology_paths(facts: DataFrame, depth: int = 50) -> DataFrame:
     """id, root, depth and path of the ontology facts, from the root down; a cycle is cut where it would close."""
-    spark = facts.sparkSession
-    facts.where("is_ontology").select("id", "parent_id").createOrReplaceTempView("_ontology")
-    return spark.sql(f"""
+    own = facts.where("is_ontology").select("id", "parent_id")
+    text = f"""
         WITH RECURSIVE t(id, root, depth, path) MAX RECURSION LEVEL {depth + 1} AS (
-            SELECT id, id, 0, CAST(id AS STRING) FROM _ontology o
-            WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM _ontology p WHERE p.id = o.parent_id)
+            SELECT id, id, 0, CAST(id AS STRING) FROM {{ontology}} o
+            WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM {{ontology}} p WHERE p.id = o.parent_id)
             UNION ALL
-            SELECT o.id, t.root, t.depth + 1, t.path || '>' || o.id FROM t JOIN _ontology o ON o.parent_id = t.id
+            SELECT o.id, t.root, t.depth + 1, t.path || '>' || o.id FROM t JOIN {{ontology}} o ON o.parent_id = t.id
             WHERE t.depth < {depth} AND instr('>' || t.path || '>', '>' || o.id || '>') = 0
-        ) SELECT id, root, CAST(depth AS BIGINT) AS depth, path FROM t""")
+        ) SELECT id, root, CAST(depth AS BIGINT) AS depth, path FROM t"""
+    return facts.sparkSession.sql(text, ontology=own)
 
 
 def inherited_chain(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def as_graph(facts: DataFrame, steps: DataFrame, references: DataFrame, sources:
         pairs = [x for c in df.columns if c != "id" for x in (F.lit(c), F.col(c).cast("string"))]
         return df.select("id", F.lit(label).alias("label"), F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("properties"))
 
-    every = nodes(facts, "Fact").union(nodes(steps, "Step")).union(nodes(references, "OSIRef")).union(nodes(sources, "Source"))
+    every = reduce(DataFrame.union, [nodes(df, label) for df, label in zip((facts, steps, references, sources), NODE_LABELS)])
     pairs = F.map_filter(F.create_map(F.lit("dependency"), F.col("dependency"), F.lit("merged"), F.col("merged").cast("string")), lambda _, v: v.isNotNull())
     return every, edges.select("src", "dst", "label", pairs.alias("properties"))
 

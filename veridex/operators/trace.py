@@ -50,11 +50,11 @@ def keep_zone(messages: DataFrame, k: int, conversation: str = "conv_id", positi
     return with_turns(messages, conversation, position).withColumn("kept", F.col("user_turn") > F.max("user_turn").over(Window.partitionBy(conversation)) - k)
 
 
-def prune(messages: DataFrame, k: int, role: str = "tool", longest: int = 200, conversation: str = "conv_id", position: str = "turn") -> DataFrame:
-    """Messages of a role before the last k user turns, cut to `longest` characters; n_pruned tells how many went."""
-    cut = ~F.col("kept") & (F.col("role") == role) & (F.length("text") > longest)
-    out = keep_zone(messages, k, conversation, position)
-    return out.withColumn("n_pruned", F.when(cut, F.length("text") - longest).otherwise(0).cast("long")).withColumn("text", F.when(cut, F.left("text", F.lit(longest))).otherwise(F.col("text")))
+def clear_results(messages: DataFrame, k: int, role: str = "tool", name: str = "name", conversation: str = "conv_id", position: str = "turn") -> DataFrame:
+    """messages with those of a role before the last k user turns cleared to a marker with the tool's name; cleared tells which."""
+    out = keep_zone(messages, k, conversation, position).withColumn("cleared", ~F.col("kept") & (F.col("role") == role))
+    marker = F.concat(F.lit("[cleared: "), F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit("]"))
+    return out.withColumn("text", F.when(F.col("cleared"), marker).otherwise(F.col("text")))
 
 
 def within_budget(messages: DataFrame, tokens: int, conversation: str = "conv_id", position: str = "turn") -> DataFrame:

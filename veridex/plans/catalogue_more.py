@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import text as fx
 from veridex.operators import entity_graph as eg
-from veridex.operators import graph, lineage, reasoning, scoring, trace
+from veridex.operators import graph, lineage, scoring, trace
 from veridex.plans import ddl
 from veridex.plans.catalogue import plain_types, star
 from veridex.sources import files
@@ -187,15 +187,15 @@ def graph_edge_types(spark, sf_dir):
 
 
 def graph_neighbors(spark, sf_dir):
-    return graph.neighbours(_compiler(spark, sf_dir).edges(), "Order:1").select("direction", "label", "other")
+    return _compiler(spark, sf_dir).neighbours("Order:1").select("direction", "label", "other")
 
 
 def graph_node_lookup(spark, sf_dir):
-    return graph.lookup(_compiler(spark, sf_dir).nodes(check=False), "Supplier:7").select("id", "label", F.col("properties")["name"].alias("name"))
+    return _compiler(spark, sf_dir).lookup("Supplier:7").select("id", "label", F.col("properties")["name"].alias("name"))
 
 
 def graph_label_scan(spark, sf_dir):
-    return graph.scan(_compiler(spark, sf_dir).nodes(check=False), "Customer", "properties['segment'] = 'BUILDING'", ["name"])
+    return graph.scan(_compiler(spark, sf_dir).nodes(check=False, labels=["Customer"]), "Customer", "properties['segment'] = 'BUILDING'", ["name"])
 
 
 def graph_catalog(spark, sf_dir):
@@ -210,53 +210,10 @@ def graph_store_reload(spark, sf_dir):
     return graph.label_counts(nodes).union(graph.label_counts(edges))
 
 
-# --- reasoning ---------------------------------------------------------------------------
-
-_FACTS = "id string, content string, confidence double, merged_into string, is_ontology boolean, parent_id string"
-
-
-def _facts(spark):
-    rows = [("f1", "a", 0.9, None, False, None), ("f2", "b", 0.5, None, False, None), ("f3", "c", 0.7, None, False, None), ("o1", "root", 1.0, None, True, None), ("o2", "mid", 1.0, None, True, "o1"), ("o3", "leaf", 1.0, None, True, "o2"), ("o4", "leaf", 1.0, None, True, "o1")]
-    return spark.createDataFrame(rows, _FACTS)
-
-
-_REASON_EDGES = [("f2", "f1", "equivalent_to", None, True), ("f3", "f2", "equivalent_to", None, True), ("f1", "f3", "supports", "d", False), ("s1", "o1", "supports", None, False)]
-
-
-def reason_upsert(spark, sf_dir):
-    new = spark.createDataFrame([("f1", "a2", 0.4, None, False, None), ("f9", "new", 0.1, None, False, None)], _FACTS)
-    return reasoning.upsert(_facts(spark), new).select("id", "content")
-
-
-def reason_synonym_merge(spark, sf_dir):
-    return reasoning.merge_synonyms(_facts(spark), spark.createDataFrame(_REASON_EDGES, reasoning.EDGES)).where("not is_ontology").select("id", "merged_into")
-
-
-def reason_synonym_chain(spark, sf_dir):
-    return reasoning.merge_synonyms(_facts(spark), spark.createDataFrame(_REASON_EDGES, reasoning.EDGES), transitive=True).where("not is_ontology").select("id", "merged_into")
-
-
-def reason_ontology_paths(spark, sf_dir):
-    return reasoning.ontology_paths(_facts(spark))
-
-
-def reason_inherited(spark, sf_dir):
-    return reasoning.inherited_chain(reasoning.ontology_paths(_facts(spark)), spark.createDataFrame(_REASON_EDGES, reasoning.EDGES))
-
-
-def reason_top_facts(spark, sf_dir):
-    return reasoning.page(_facts(spark).where("not is_ontology"), 0, 2).select("id", "confidence")
-
-
 # --- traces and memory -------------------------------------------------------------------
 
 
 def trace_redact_values(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text").where("text rlike '(?i)token|password|secret'").select("doc_id", F.md5(fx.redact_values(F.col("text"))).alias("digest"))
-
-
-def trace_redact_whole(spark, sf_dir):
-    """All documents, whatever sensitive name they hold."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(fx.redact_values(F.col("text"))).alias("digest"))
 
 
@@ -283,10 +240,6 @@ def memory_keep_zone(spark, sf_dir):
     return trace.keep_zone(table(spark, sf_dir, "conversations"), 2).where("kept").select("conv_id", "turn")
 
 
-def memory_prune_tools(spark, sf_dir):
-    return trace.prune(table(spark, sf_dir, "conversations"), 1, role="assistant", longest=100).select("conv_id", "turn", "n_pruned", F.length("text").cast("bigint").alias("n_chars"))
-
-
 def memory_budget(spark, sf_dir):
     return trace.within_budget(table(spark, sf_dir, "conversations"), 500).select("conv_id", "turn")
 
@@ -305,39 +258,6 @@ def score_resultset_equal(spark, sf_dir):
     return spark.createDataFrame([(k, scoring.same_rows(a, b)) for k, a, b in cases], "name string, equal boolean")
 
 
-_ANSWERS = [
-    ("a1", "number", "3.14159", "3.14160"), ("a2", "number", "$1,200", "1200"), ("a3", "number", "7", "8"), ("a4", "list", "[B, a]", "a;b"), ("a5", "list", "a, b", "a, c"),
-    ("a6", "grouped_list", "[x: 1.001, y: 2]", "y: 2.00, x: 1.00"), ("a7", "text", " Yes ", "yes"), ("a8", "text", "no", None),
-]
-
-
-def _answers(spark):
-    rows = spark.createDataFrame(_ANSWERS, "id string, what string, given string, wanted string")
-    return rows.withColumn("passed", fx.answers_match(F.col("given"), F.col("wanted"), F.col("what")))
-
-
-def score_answers(spark, sf_dir):
-    return _answers(spark).select("id", "passed")
-
-
-def score_numeric_match(spark, sf_dir):
-    rows = spark.createDataFrame([("1.00001", "1"), ("1.01", "1"), ("Abc", "abc "), ("0", "0.0")], "a string, b string")
-    return rows.select("a", "b", fx.numeric_match(F.col("a"), F.col("b")).alias("equal"))
-
-
-def score_normalize_list(spark, sf_dir):
-    return spark.createDataFrame([("['B', a]",), ("(c; d)",), ("",)], "t string").select("t", F.concat_ws("|", fx.normal_list(F.col("t"))).alias("items"))
-
-
-def score_answer_kind(spark, sf_dir):
-    rows = [("Answer with a number rounded to 2 decimals",), ("A comma separated list",), ("A grouped list",), ("yes or no",)]
-    return spark.createDataFrame(rows, "guideline string").select("guideline", fx.answer_kind(F.col("guideline")).alias("kind"))
-
-
-def score_accuracy(spark, sf_dir):
-    return scoring.accuracy(_answers(spark)).select("passed", "total", F.round("accuracy", 4).alias("accuracy"))
-
-
 # --- sources -----------------------------------------------------------------------------
 
 
@@ -349,12 +269,6 @@ def source_csv_infer(spark, sf_dir):
     return read.agg(F.count("*").alias("n"), F.count("p_size").alias("n_size"), F.sum("p_size").alias("size"), F.round(F.sum("p_retailprice"), 2).alias("price")).withColumn("types", F.lit(",".join(kinds[c] for c in ("p_size", "p_retailprice", "p_name"))))
 
 
-def source_json_nested(spark, sf_dir):
-    path = _folder(spark)
-    table(spark, sf_dir, "nation").select("n_name", F.struct(F.col("n_nationkey").alias("k")).alias("inner")).write.json(path)
-    return files.nested_as_text(spark.read.json(path)).select("n_name", "inner")
-
-
 def source_schema_scan(spark, sf_dir):
     sources = files.Sources(spark)
     for t in ("nation", "region"):
@@ -370,18 +284,14 @@ def source_auto_model(spark, sf_dir):
     return spark.createDataFrame([(d.name, sum(f.is_dimension for f in d.fields), len(d.fields)) for d in model.datasets], "dataset string, dimensions long, fields long")
 
 
-def sample_rows(spark, sf_dir):
-    return star(spark, sf_dir).dataset("regions").orderBy("region_key").limit(3).select(F.col("region_key").cast("bigint").alias("region_key"), "region_name")
-
-
 def total_count(spark, sf_dir):
     rows, total = star(spark, sf_dir).rows("SELECT order_key FROM orders", 100)
     return spark.createDataFrame([(len(rows), total)], "returned long, total long")
 
 
 def ground_truth(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select(F.lit(1).alias("task_id"), F.col("doc_id").alias("position"), (F.col("quality") == 0).alias("score"))
-    return files.first_scored(rows).select("position")
+    rows = table(spark, sf_dir, "labels").select(F.col("toxic").cast("long").alias("task_id"), F.col("doc_id").alias("position"), (F.col("quality") == 0).alias("score"))
+    return files.first_scored(rows).select("task_id", "position")
 
 
 # --- extras ------------------------------------------------------------------------------
@@ -398,10 +308,9 @@ def extra_sessions(spark, sf_dir):
 _NAMES = """catalog_fields catalog_metrics catalog_ddl validate_violations lineage_nodes lineage_edges lineage_slices lineage_orphans
 entity_nodes_count entity_edges_count entity_composite_key entity_union_source entity_join_source entity_orphans entity_edge_condition entity_duplicate_keys
 graph_one_hop graph_two_hop_count graph_common_neighbors graph_bought_together graph_single_brand graph_degree graph_edge_types graph_neighbors graph_node_lookup graph_label_scan graph_catalog graph_store_reload
-reason_upsert reason_synonym_merge reason_synonym_chain reason_ontology_paths reason_inherited reason_top_facts
-trace_redact_values trace_redact_whole trace_span_tree trace_usage_fallback memory_turns memory_keep_zone memory_prune_tools memory_budget memory_last_messages
-score_resultset_equal score_answers score_numeric_match score_normalize_list score_answer_kind score_accuracy
-source_csv_infer source_json_nested source_schema_scan source_auto_model sample_rows total_count ground_truth extra_tumbling extra_sessions"""
+trace_redact_values trace_span_tree trace_usage_fallback memory_turns memory_keep_zone memory_budget memory_last_messages
+score_resultset_equal 
+source_csv_infer source_schema_scan source_auto_model total_count ground_truth extra_tumbling extra_sessions"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _TURNS = "select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as user_turn from conversations"
@@ -439,33 +348,19 @@ ORACLE = {
     "graph_label_scan": "select 'Customer:' || c_custkey as id, c_name as name from customer where c_mktsegment = 'BUILDING'",
     "graph_catalog": f"select label, split_part(src, ':', 1) as src_label, split_part(dst, ':', 1) as dst_label, count(*) as n from ({_PLACED} union all {_CONTAINS} union all {_BULK}) group by all",
     "graph_store_reload": f"select * from ({_NODE_COUNTS}) union all select 'PLACED', count(*) from orders",
-    "reason_upsert": "select * from (values ('f1', 'a2'), ('f2', 'b'), ('f3', 'c'), ('o1', 'root'), ('o2', 'mid'), ('o3', 'leaf'), ('o4', 'leaf'), ('f9', 'new')) t(id, content)",
-    "reason_synonym_merge": "select * from (values ('f1', null), ('f2', 'f1'), ('f3', 'f2')) t(id, merged_into)",
-    "reason_synonym_chain": "select * from (values ('f1', null), ('f2', 'f1'), ('f3', 'f1')) t(id, merged_into)",
-    "reason_ontology_paths": "select id, root, cast(depth as bigint) as depth, path from (values ('o1', 'o1', 0, 'o1'), ('o2', 'o1', 1, 'o1>o2'), ('o3', 'o1', 2, 'o1>o2>o3'), ('o4', 'o1', 1, 'o1>o4')) t(id, root, depth, path)",
-    "reason_inherited": "select id, 's1' as src, 'supports' as label from (values ('o1'), ('o2'), ('o3'), ('o4')) t(id)",
-    "reason_top_facts": "select id, cast(confidence as double) as confidence from (values ('f1', 0.9), ('f3', 0.7)) t(id, confidence)",
-    "trace_redact_values": "select doc_id, md5(regexp_replace(text, '(?i)(api[_-]?key|apikey|authorization|access[_-]?token|refresh[_-]?token|token|password|passwd|secret|credential|private[_-]?key|cookie)([ \\t]*[:=][ \\t]*)[^,;\\n]+', '\\1\\2***', 'g')) as digest from documents where regexp_matches(text, '(?i)token|password|secret')",
-    "trace_redact_whole": "select doc_id, md5(regexp_replace(text, '(?i)(api[_-]?key|apikey|authorization|access[_-]?token|refresh[_-]?token|token|password|passwd|secret|credential|private[_-]?key|cookie)([ \\t]*[:=][ \\t]*)[^,;\\n]+', '\\1\\2***', 'g')) as digest from documents",
+    "trace_redact_values": "select doc_id, md5(regexp_replace(text, '(?i)(authorization|x-api-key|password|api_key|secret|bearer|token)\\s*[:=]\\s*[^,;]+', '\\1=***', 'g')) as digest from documents",
     "trace_span_tree": "select cast(0 as bigint) as depth, count(distinct conv_id) as n, count(*) filter (role = 'user') as children from conversations union all select 1, count(*) filter (role = 'user'), count(*) filter (role = 'assistant') from conversations union all select 2, count(*) filter (role = 'assistant'), 0 from conversations",
     "trace_usage_fallback": "select role, cast(sum(case when turn % 2 = 0 then length(text) else ceil(length(text) / 4) end) as bigint) as tokens from conversations group by role",
     "memory_turns": f"select conv_id, turn, cast(user_turn as bigint) as user_turn from ({_TURNS})",
     "memory_keep_zone": f"with t as ({_TURNS}) select conv_id, turn from t where user_turn > (select max(user_turn) from t u where u.conv_id = t.conv_id) - 2",
-    "memory_prune_tools": f"with t as ({_TURNS}), m as (select *, user_turn <= max(user_turn) over (partition by conv_id) - 1 and role = 'assistant' and length(text) > 100 as cut from t) select conv_id, turn, case when cut then length(text) - 100 else 0 end as n_pruned, case when cut then 100 else length(text) end as n_chars from m",
     "memory_budget": f"with t as (select *, cast(ceil(length(text) / 4) as bigint) as tokens from ({_TURNS})), s as (select *, sum(case when role = 'system' then tokens else 0 end) over (partition by conv_id) as fixed, sum(case when role = 'system' then 0 else tokens end) over (partition by conv_id order by user_turn desc range between unbounded preceding and current row) as after, max(user_turn) over (partition by conv_id) as last from t) select conv_id, turn from s where role = 'system' or user_turn = last or fixed + after <= 500",
     "memory_last_messages": "select conv_id, turn from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 3",
     "score_resultset_equal": "select * from (values ('same', true), ('reordered rows', true), ('fewer columns', false), ('one missing', false), ('doubled', false)) t(name, equal)",
-    "score_answers": "select * from (values ('a1', true), ('a2', true), ('a3', false), ('a4', true), ('a5', false), ('a6', true), ('a7', true), ('a8', false)) t(id, passed)",
-    "score_numeric_match": "select * from (values ('1.00001', '1', true), ('1.01', '1', false), ('Abc', 'abc ', true), ('0', '0.0', true)) t(a, b, equal)",
-    "score_normalize_list": "select * from (values ('[''B'', a]', 'a|b'), ('(c; d)', 'c|d'), ('', '')) t(t, items)",
-    "score_answer_kind": "select * from (values ('Answer with a number rounded to 2 decimals', 'number'), ('A comma separated list', 'list'), ('A grouped list', 'grouped_list'), ('yes or no', 'text')) t(guideline, kind)",
-    "score_accuracy": "select cast(5 as bigint) as passed, cast(8 as bigint) as total, cast(0.625 as double) as accuracy",
     "source_csv_infer": "select count(*) as n, count(*) filter (p_partkey % 7 <> 0) as n_size, cast(sum(p_size) filter (p_partkey % 7 <> 0) as bigint) as size, round(sum(p_retailprice) filter (p_partkey % 7 <> 0), 2) as price, 'bigint,double,string' as types from part",
-    "source_json_nested": "select n_name, '{\"k\":' || n_nationkey || '}' as inner from nation",
     "source_schema_scan": "select * from (values ('nation', 'n_nationkey', 'int'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int'), ('region', 'r_regionkey', 'int'), ('region', 'r_name', 'string')) t(table_name, column_name, kind)",
     "source_auto_model": "select d as dataset, cast(x as bigint) as dimensions, cast(f as bigint) as fields from (values ('documents', 3, 5), ('labels', 0, 3), ('events', 3, 6)) t(d, x, f)",
-    "sample_rows": "select cast(r_regionkey as bigint) as region_key, r_name as region_name from region order by r_regionkey limit 3",
     "total_count": "select cast(100 as bigint) as returned, count(*) as total from orders",
-    "ground_truth": "select min(doc_id) as position from labels where quality = 0",
+    "ground_truth": "select cast(toxic as bigint) as task_id, min(doc_id) as position from labels where quality = 0 group by toxic",
+    "extra_sessions": "with e as (select *, coalesce(ts > lag(ts) over w + interval 30 minutes, true) as opens from events window w as (partition by user_id order by ts)) select user_id, cast(count(*) filter (opens) as bigint) as n_sessions, cast(count(*) as bigint) as n from e group by user_id",
     "extra_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
 }

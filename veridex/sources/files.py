@@ -163,9 +163,9 @@ def append_trace(events: DataFrame, path: str) -> None:
 
 
 def first_scored(rows: DataFrame, task: str = "task_id", score: str = "score", order: str = "position") -> DataFrame:
-    """The first row of each task whose score is true."""
-    w = Window.partitionBy(task).orderBy(order)
-    return rows.where(F.col(score).cast("string").isin("true", "1")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each task whose score is true. One aggregate with partial minima, so a task with all rows is no hot key."""
+    good = rows.where(F.col(score).cast("string").isin("true", "1"))
+    return good.groupBy(task).agg(F.min_by(F.struct(*good.columns), order).alias("_r")).select("_r.*")
 
 
 def choose_tasks(tasks: DataFrame, level: str | None = None, ids: list | None = None, at_most: int | None = None) -> DataFrame:
