@@ -7,13 +7,13 @@ estimated cost of its candidates: postings to read, and candidates to verify, wh
 
 1. One pass counts all shingles in a sketch of fixed size. It decides the order and the costs, never the result.
 2. Equal sets become one class. Each class emits its prefix.
-3. Classes whose prefix shares too few tokens with any other go. First rounds: in each posting list every class
-   meets one central class only (a grouped minimum, so a token that a third of all classes share is no hot key),
-   then every component's centre meets one. Verified pairs make components.
-4. Last round: classes that share a token and lie in different components meet each other, as far as the places of
-   the token allow enough overlap and parities of the whole sets show no greater difference than a link allows.
-   Pairs that share enough tokens are verified. What lies in one component already
-   needs no more links for that.
+3. Classes whose prefix shares too few tokens with any other go. First round: in each posting list every class meets
+   one central class only (a grouped minimum, so a token that a third of all classes share is no hot key), and classes
+   that agree on a part of the parities of their whole sets meet two of their group. Verified pairs make components,
+   so a group of near copies leaves little for the last round.
+4. Last round: classes that share a token and lie in different components meet each other, as far as set sizes and the
+   places of the token allow enough overlap and parities of the whole sets show no greater difference than a link
+   allows. Pairs that share enough tokens are verified. What lies in one component already needs no more links for that.
 5. Every link joins two classes of one component, so all pairs of a component, dealt in pairs of blocks, are
    intersected exactly by counting shared tokens; a class's links are counted there, and no pair is written out.
 """
@@ -430,26 +430,18 @@ def _grouped(docs: DataFrame, count_links: bool) -> DataFrame:
     release(wanted)
     sweep(spark)
 
-    # first rounds: each class with the most central one of each posting list, then each component's with the first component's
+    # first round: each class with pivots among those that agree with it on a part of their parities, and with the most central one of each posting list
     sizes = classes.select("cid", F.col("n").alias("pn"))
-    comps, links, tried = None, None, None
-    for _ in range(2):
-        placed = _placed(met, comps)
-        heads = placed.groupBy("token", "comp").agg(F.min(F.struct("u", "cid")).alias("head"))
-        pivots = heads.groupBy("token").agg(F.min("head").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("token", F.col("pivot.cid").alias("a"))
-        ends = placed if comps is None else heads.select("token", "comp", F.col("head.cid").alias("cid")).join(met.select("token", "cid", "n"), ["token", "cid"])
-        pairs = ends.join(pivots, "token").where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-        pairs = pairs.where("c * 16 >= n").join(sizes.withColumnRenamed("cid", "a"), "a").where(_alike("n", "pn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = verified(pairs, sets)
-        old = [x for x in (tried, links, comps) if x is not None]
-        tried = pairs if tried is None else stage(tried.union(pairs), "tried")
-        links = found if links is None else stage(links.union(found), "links")
-        comps = components(links)
-        release(*old, *([pairs, found] if old else []))
-        sweep(spark)
-
-    # last round: what is left between components, with all that the places of a shared token allow
+    pivots = met.groupBy("token").agg(F.min(F.struct("u", "cid")).alias("pivot"), F.count("*").alias("k")).where("k > 1").select("token", F.col("pivot.cid").alias("a"))
+    pairs = met.join(pivots, "token").where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    pairs = pairs.where("c * 16 >= n").join(sizes.withColumnRenamed("cid", "a"), "a").where(_alike("n", "pn")).select("a", "b")
+    pairs = pairs.union(_agreeing(met, rows)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = stage(pairs.distinct(), "pairs")
+    links = verified(tried, sets)
+    comps = components(links)
+    sweep(spark)
+
+    # last round: what is left between components
     pairs = _last_pairs(met, comps, rows, tried)
     release(met, tried)
     if not pairs.isEmpty():
@@ -473,6 +465,33 @@ def _grouped(docs: DataFrame, count_links: bool) -> DataFrame:
     return out
 
 
+def _apart(a: str, b: str):
+    """Elements that two sets differ in at least, by their parities."""
+    return sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(1, PARITIES)), F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))))
+
+
+def _least(a: str, b: str):
+    """The overlap that two sets of these sizes need: 100 i >= 80 (a + b - i)."""
+    return F.ceil((F.col(a) + F.col(b)) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT) - 1e-9)
+
+
+def _agreeing(met: DataFrame, rows: DataFrame) -> DataFrame:
+    """a (a pivot) and b: classes that agree on one of 16 parts of their parities, each with the first and the last of them.
+
+    Sets that differ little agree on some parts; a part that sums up few elements says too little and isn't used. One
+    row per class and part, and grouped extremes, so a large group of near copies is no hot key; no class gets more
+    than 32 pairs, and those that the whole parities forbid go.
+    """
+    halves = [F.struct(F.lit(2 * k + h).alias("k"), (F.shiftrightunsigned(f"p{k}", 32) if h else F.col(f"p{k}").bitwiseAND(0xFFFFFFFF)).alias("word")) for k in range(PARITIES) for h in (0, 1)]
+    able = rows.select(F.col("rid").alias("b"), F.explode(F.array(*halves)).alias("x")).join(met.select(F.col("cid").alias("b")).distinct(), "b", "left_semi")
+    keyed = able.select("b", "x.*").where(F.bit_count("word") >= 3)
+    ends = keyed.groupBy("k", "word").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high")
+    pairs = keyed.join(ends, ["k", "word"]).select("b", F.explode(F.array("low", "high")).alias("a")).where("a <> b").distinct()
+    whole = lambda c: rows.select(F.col("rid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *(f"p{k}" for k in range(PARITIES)))))
+    fit = _alike("a_n", "b_n") & (_apart("a_", "b_") <= F.col("a_n") + F.col("b_n") - 2 * _least("a_n", "b_n"))
+    return pairs.join(whole("a"), "a").join(whole("b"), "b").where(fit).select("a", "b")
+
+
 def _last_pairs(met: DataFrame, comps: DataFrame, rows: DataFrame, tried: DataFrame) -> DataFrame:
     """a and b, written: the pairs of classes in different components that may link and weren't tried.
 
@@ -487,13 +506,11 @@ def _last_pairs(met: DataFrame, comps: DataFrame, rows: DataFrame, tried: DataFr
     columns = ("cid", "n", "m", "pos", "sr", "comp", "band", *extra)
     x = rest.select("token", F.col("band").alias("at"), *(F.col(c).alias(f"a_{c}") for c in columns))
     y = rest.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    # 100 i >= 80 (a + b - i), so i must reach ceil(80 (a + b) / 180)
-    least = F.ceil((F.col("a_n") + F.col("b_n")) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT) - 1e-9)
+    least = _least("a_n", "b_n")
     # before this token only shared ones can be common, after it no more than either set has left
     most = F.least("a_sr", "b_sr") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     # linked sets differ in at most a + b - 2 i elements, and in at least as many as their parities do
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in extra[1:]), F.bit_count(F.col(f"a_{extra[0]}").bitwiseXOR(F.col(f"b_{extra[0]}"))))
-    fit = (most >= least) & (apart <= F.col("a_n") + F.col("b_n") - 2 * least)
+    fit = (most >= least) & (_apart("a_", "b_") <= F.col("a_n") + F.col("b_n") - 2 * least)
     once = (F.col("a_band") < F.col("b_band")) | (F.col("a_cid") < F.col("b_cid"))
     crossed = x.join(y, ["token", "at"]).where(once & (F.col("a_comp") != F.col("b_comp")) & _alike("a_n", "b_n") & fit)
     counted = crossed.groupBy("a_cid", "b_cid").agg(F.count("*").alias("c"), F.first("a_m").alias("a_m"), F.first("b_m").alias("b_m"))
