@@ -84,3 +84,12 @@ def test_every_word_is_kept(spark):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, is_target boolean")
     found = {r.doc_id: (r.n_tokens, r.xent_diff) for r in lm_scoring.score(df).collect()}
     check([found[k] for k in range(len(rows))], brute(rows))
+
+
+def test_a_text_beyond_four_megabytes(spark):
+    import math
+
+    rows = [(1, "a b " * 1_100_000, True), (2, "a c", False), (3, None, None)]
+    found = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, is_target boolean")).collect()}
+    assert found[1].n_tokens == 2_200_000 and found[2].n_tokens == 2 and found[3].xent_diff is None
+    assert math.isfinite(found[1].xent_diff) and found[1].xent_diff < found[2].xent_diff

@@ -23,7 +23,7 @@ from veridex.llm.common import mix, small, stage, steps, utf8, words
 
 #: Stands for the word before a document's first one.
 START = np.uint64(0xD1B54A32D192ED03)
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_400_000
 BUCKET_ENTRIES = 1_000_000
 #: Weight of the unigram model, in counts.
 UNIGRAM_COUNTS = 50.0
