@@ -27,8 +27,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _STARTS = re.compile(rb"\x1f\x8b\x08|" + _VERSION.pattern)
-#: Compressed bytes that are decompressed at once; around a fault in ever smaller steps.
-_INFLATE_STEP = 1 << 20
+#: Compressed bytes that are decompressed at first and at most at once; around a fault in ever smaller steps.
+_INFLATE_STEPS = 8 << 10, 1 << 20
 
 
 class BrokenRecord(ValueError):
@@ -138,16 +138,17 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
     """What a gzip member at a place holds, as far as it can be decompressed, its end if it is whole, else the reason."""
-    z, out, k, step = zlib.decompressobj(31), [], at, _INFLATE_STEP
+    z, out, k, step, faulty = zlib.decompressobj(31), [], at, _INFLATE_STEPS[0], False
     while k < len(data) and not z.eof:
         before = z.copy()
         try:
             out.append(z.decompress(data[k : k + step]))
             k += step
+            step = step if faulty else min(2 * step, _INFLATE_STEPS[1])
         except zlib.error as error:
             if step == 1:
                 return b"".join(out), None, f"gzip: {error}"
-            z, step = before, max(1, step // 16)  # once more in smaller steps, for the bytes before the fault
+            z, step, faulty = before, max(1, step // 16), True  # once more in smaller steps, for the bytes before the fault
     return (b"".join(out), min(k, len(data)) - len(z.unused_data), "") if z.eof else (b"".join(out), None, "gzip: cut")
 
 
