@@ -53,7 +53,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to: int | None = Non
     return "\r\n".join(lines).encode() + _END + block + _END
 
 
-def member(data: bytes, level: int = 6) -> bytes:
+def member(data: bytes, level: int = 4) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
