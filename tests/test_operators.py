@@ -1,6 +1,7 @@
 """Graph text, entity mappings, reasoning documents, redaction and answers on small cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridex.functions import text as fx
 from veridex.operators import entity_graph as eg
@@ -166,3 +167,31 @@ def test_numeric_match(spark, given, wanted, equal):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(given, wanted)], "g string, w string").select(fx.numeric_match(F.col("g"), F.col("w"))).first()[0] is equal
+
+
+def test_inherited_counts_match_their_sql_on_repeated_rows(spark, sf, tmp_path):
+    """Repeated and null keys count row by row, as in the query's SQL."""
+    import duckdb
+
+    from veridex.plans.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        if t in ("customer", "supplier"):
+            key = {"customer": "c_custkey", "supplier": "s_suppkey"}[t]
+            df = df.union(df.where(f"{key} < 3")).union(df.where(f"{key} = 4").withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in QUERIES["reason_inherited_tables"](spark, str(tmp_path)).select("id", "n").collect() if r.id is not None)
+    assert found == sorted(r for r in con.execute(ORACLE["reason_inherited_tables"]).fetchall() if r[0] is not None)
+
+
+def test_inherited_counts_never_pair_facts_with_edges(spark):
+    """2.5 billion pairs, which would take hours one by one."""
+    facts = spark.range(50_000).select(F.concat(F.lit("f"), "id").alias("id"), F.concat(F.lit("top>f"), "id").alias("path"))
+    edges = spark.range(50_000).select(F.concat(F.lit("e"), "id").alias("src"), F.when(F.col("id") < 49_999, "top").otherwise("f7").alias("dst"), F.lit("references").alias("label"))
+    found = reasoning.inherited_counts(facts, edges)
+    assert found.agg(F.count("*"), F.sum("n")).first() == (50_000, 49_999 * 50_000 + 1) and found.where("id = 'f7'").first().n == 50_000
+    few = facts.limit(30), edges.limit(40)
+    assert sorted(map(tuple, reasoning.inherited_counts(*few).collect())) == sorted(map(tuple, reasoning.inherited_chain(*few).groupBy("id").count().collect()))

@@ -371,7 +371,7 @@ def reason_paths_tables(spark, sf_dir):
 
 def reason_inherited_tables(spark, sf_dir):
     edges = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), F.lit("references").alias("label"))
-    return reasoning.inherited_chain(reasoning.ontology_paths(_ontology(spark, sf_dir)), edges).groupBy("id").agg(F.count("*").alias("n"))
+    return reasoning.inherited_counts(reasoning.ontology_paths(_ontology(spark, sf_dir)), edges)
 
 
 def _document(spark, sf_dir):
