@@ -145,3 +145,46 @@ def test_an_output_name_that_is_taken(spark):
     df = spark.createDataFrame([(bytearray(b"old"), media.wave(b"\x80" * 10, media.ALAW), 5)], "pcm_media binary, media binary, k int")
     out = media.to_pcm(df)
     assert out.columns == ["media", "k", "pcm_media"] and media.read_wave(bytes(out.first().pcm_media))[1] == 16000
+
+
+def by_rule(text, rate=8000):
+    """PCM at 8 or 16 kHz of a stored text by plain rules."""
+    payload = (text or "").encode()
+    payload += b"\0" * (max(64, -(-len(payload) // 64) * 64) - len(payload))
+    law = (media.MULAW, media.ALAW, media.ADPCM)[zlib.crc32(payload) % 3]
+    pcm = adpcm_by_hand(payload, 64) if law == media.ADPCM else [int((media.mulaw_table() if law == media.MULAW else media.alaw_table())[c]) for c in payload]
+    return pcm if rate == 8000 else [x for a, b in zip(pcm, pcm[1:] + pcm[-1:]) for x in (a, (a + b) // 2)]
+
+
+def test_no_sample_is_left_out(spark, edges):
+    """The stored PCM holds the original's samples and those between, and pcm_feature describes them all."""
+    for r in media.texts_as_audio(edges).collect():
+        pcm = by_rule(dict(EDGES)[r.doc_id], 16000)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        assert r.pcm_feature == f"n={len(pcm)};peak={max(map(abs, pcm))};ms={sum(x * x for x in pcm) // len(pcm)};zc={crossings};crc={zlib.crc32(np.array(pcm, '<i2').tobytes()):08x}"
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string")
+    for r in media.to_pcm(media.store_texts(docs), rate=media.STORED_RATE, packed=True).collect():
+        pcm, rate = media.unpack(bytes(r.pcm_media))
+        assert rate == 16000 and pcm[::2].tolist() == by_rule(f"text {r.doc_id}") and pcm.tolist() == by_rule(f"text {r.doc_id}", 16000)
+
+
+def test_packed_pcm_is_lossless(monkeypatch):
+    rng = np.random.default_rng(9)
+    noise = rng.integers(-32768, 32768, 1001).astype(np.int16)
+    tables = [media.expand(rng.integers(0, 256, 500, dtype=np.uint8).tobytes(), law) for law in (media.MULAW, media.ALAW)]
+    cases = [noise, noise[:1000], noise[:1], noise[:2], noise[:0], np.array([-32768, 32767] * 40, np.int16), *tables, *(media.resample(x, 8000, to) for x in (noise, *tables) for to in (16000, 24000, 6000, 4000))]
+    for size in (media.SLICE, 7):
+        monkeypatch.setattr(media, "SLICE", size)
+        for pcm in cases:
+            back, rate = media.unpack(media.pack(pcm, 8000))
+            assert rate == 8000 and back.dtype == np.int16 and back.tolist() == pcm.tolist()
+    assert len(media.pack(media.resample(tables[0], 8000, 16000), 16000)) < 520
+    with pytest.raises(ValueError):
+        media.unpack(media.pack(noise, 8000)[:-1])
+
+
+def test_resampling_by_whole_factors_follows_the_general_rule(monkeypatch):
+    pcm = np.random.default_rng(3).integers(-32768, 32768, 501).astype(np.int16)
+    for rate, to in ((8000, 16000), (16000, 4000), (8000, 4000), (16000, 8000)):
+        want = [(int(pcm[k * rate // to]) * (to - k * rate % to) + int(pcm[min(k * rate // to + 1, 500)]) * (k * rate % to)) // to for k in range(501 * to // rate)]
+        assert media.resample(pcm, rate, to).tolist() == want

@@ -35,11 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridex-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options or {}).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._veridex_path = path
     return out

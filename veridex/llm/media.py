@@ -2,7 +2,7 @@
 
 Companded samples expand through 256-entry tables made from the standard's rule. ADPCM blocks are decoded side by
 side, also those of different files: one numpy step takes the same nibble of every block. Stored media are WAVE files,
-one per row; their resampled PCM is stored beside them as a WAVE file of its own.
+one per row; their resampled PCM is stored beside them, as a WAVE file of its own or packed without loss.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from veridex.llm.common import stage
 
 RATE, PCM, ALAW, MULAW, ADPCM = 8000, 1, 6, 7, 17
 BLOCK = 64
-#: The rate of the PCM that the query stores: at 2 bytes a sample it takes as much room as the 8-bit original.
+#: The rate of the PCM that the query stores and describes in pcm_feature; no sample of the 8 kHz original is left out.
+STORED_RATE = 16000
+#: The rate that the shorter column `feature` describes, resampled from the stored PCM.
 PCM_RATE = 4000
 #: Samples that one step of resampling or describing works on, and bytes of files that are decoded at once.
 SLICE = 1 << 20
+#: Level of the stored table's compression: at 3, the default, it takes about a tenth more room.
+ZSTD_LEVEL = 6
 _LAWS = (MULAW, ALAW, ADPCM)
 
 # Fixed values of the IMA ADPCM standard: index changes by nibble.
@@ -116,10 +120,26 @@ def encode_adpcm(pcm: np.ndarray, block: int = 256) -> bytes:
     return rows.tobytes()
 
 
+def _middle(pcm: np.ndarray) -> np.ndarray:
+    """The interpolated value after every sample; the last one is held. Works in slices."""
+    out = np.empty(len(pcm), np.int16)
+    for k in range(0, len(pcm), SLICE):
+        part = pcm[k : k + SLICE + 1].astype(np.int32)
+        after = part[1:] if len(part) > SLICE else np.append(part[1:], part[-1:])
+        out[k : k + SLICE] = (part[:SLICE] + after) >> 1
+    return out
+
+
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation in integers: output k lies at k * rate / to; the last sample is held. Works in slices."""
     if rate == to or not len(pcm):
         return pcm.astype(np.int16)
+    if rate % to == 0:
+        return np.ascontiguousarray(pcm[:: rate // to][: len(pcm) * to // rate], np.int16)
+    if to == 2 * rate:
+        out = np.empty(2 * len(pcm), np.int16)
+        out[::2], out[1::2] = pcm, _middle(pcm)
+        return out
     out = np.empty(len(pcm) * to // rate, np.int16)
     for first in range(0, len(out), SLICE):
         at = np.arange(first, min(first + SLICE, len(out)), dtype=np.int64) * rate
@@ -129,6 +149,53 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return out
 
 
+# --- packed PCM ------------------------------------------------------------------------
+
+_PACKED = struct.Struct("<IQBB")
+
+
+def _codes(law: int) -> np.ndarray:
+    """By 16-bit value: the byte that a law has for it, or -1."""
+    out = np.full(1 << 16, -1, np.int16)
+    out[_TABLES[law].view(np.uint16)] = np.arange(256)
+    return out
+
+
+_CODES = {law: _codes(law) for law in _TABLES}
+
+
+def pack(pcm: np.ndarray, rate: int) -> bytes:
+    """PCM of any kind without loss, as a predictive coder stores it; zero gaps and companded values take less room.
+
+    Every other sample is stored in 16 bits, or as a law's bytes if all of them are values of that law; of the samples
+    between, the gaps to their neighbours' middle are stored, if there are any.
+    """
+    even = np.ascontiguousarray(pcm[::2], np.int16)
+    gaps = pcm[1::2] - _middle(even)[: len(pcm) // 2]  # wraps, as its reverse does
+    form, body = PCM, even.astype("<i2").tobytes()
+    for law, codes in _CODES.items():
+        found = codes[even.view(np.uint16)]
+        if (found >= 0).all():
+            form, body = law, found.astype(np.uint8).tobytes()
+            break
+    return _PACKED.pack(rate, len(pcm), form, bool(gaps.any())) + body + (gaps.astype("<i2").tobytes() if gaps.any() else b"")
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, int]:
+    """(PCM, rate) that pack stored. Raises ValueError if the bytes aren't whole."""
+    rate, n, form, gaps = _PACKED.unpack_from(data)
+    half, width = n - n // 2, 2 if form == PCM else 1
+    if len(data) != _PACKED.size + half * width + 2 * (n // 2) * gaps:
+        raise ValueError("packed PCM isn't whole")
+    even = np.frombuffer(data, "<i2" if form == PCM else np.uint8, half, _PACKED.size)
+    out = np.empty(n, np.int16)
+    out[::2] = even if form == PCM else _TABLES[form][even]
+    out[1::2] = _middle(out[::2])[: n // 2]
+    if gaps:
+        out[1::2] += np.frombuffer(data, "<i2", n // 2, _PACKED.size + half * width)
+    return out, rate
+
+
 # --- WAVE ------------------------------------------------------------------------------
 
 
@@ -197,14 +264,17 @@ def _parts(column: pa.Array):
         i = j
 
 
-def to_pcm(media: DataFrame, column: str = "media", rate: int = 16000, output: str = "pcm_media") -> DataFrame:
-    """Adds the resampled PCM WAVE file as a column to a table with stored media; null and broken media give null.
+def to_pcm(media: DataFrame, column: str = "media", rate: int = 16000, output: str = "pcm_media", packed: bool = False) -> DataFrame:
+    """Adds the resampled PCM as a column to a table with stored media, as WAVE files or packed; null and broken media give null.
 
     Files may have any length. A column that is named like the output is replaced; all others stay.
     """
     others = [k for k, c in enumerate(media.columns) if c != output]
     at = media.columns.index(column)
 
+    def form(pcm):
+        return pack(pcm, rate) if packed else wave(pcm.astype("<i2").tobytes(), PCM, rate)
+
     def run(batches):
         for batch in batches:
             for i, j in _parts(batch.column(at)):
@@ -214,7 +284,7 @@ def to_pcm(media: DataFrame, column: str = "media", rate: int = 16000, output: s
                     found = _decoded(files)
                 except (ValueError, KeyError, struct.error):
                     found = [None]
-                out = [x and wave(resample(x[0], x[1], rate).astype("<i2").tobytes(), PCM, rate) for x in found]
+                out = [x and form(resample(x[0], x[1], rate)) for x in found]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(out, pa.binary())], [*(batch.schema.names[k] for k in others), output])
 
     return media.mapInArrow(run, StructType([*(media.schema.fields[k] for k in others), StructField(output, BinaryType())]))
@@ -255,8 +325,8 @@ def describe(pcm: np.ndarray) -> str:
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """Per stored row (doc_id, n_bytes, media, pcm_media) what its bytes hold: doc_id, n_bytes, payload and media sizes and hashes, feature of the stored PCM."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Per stored row (doc_id, n_bytes, media, packed pcm_media) what its bytes hold: doc_id, n_bytes, payload and media sizes and hashes, feature of the stored PCM at PCM_RATE and pcm_feature of all of it."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_feature"]
 
     def run(batches):
         for batch in batches:
@@ -264,18 +334,18 @@ def digest(stored: DataFrame) -> DataFrame:
             for value, other in zip(batch.column(2), batch.column(3)):
                 media = value.as_py()
                 payload = read_wave(media)[3]
-                feature = describe(np.frombuffer(read_wave(other.as_py())[3], "<i2"))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                pcm, rate = unpack(other.as_py())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), describe(resample(pcm, rate, PCM_RATE)), describe(pcm)))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, zip(*rows))], names)
 
-    return stored.select("doc_id", "n_bytes", "media", "pcm_media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media", "pcm_media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_feature string")
 
 
-def texts_as_audio(docs: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+def texts_as_audio(docs: DataFrame, rate: int = STORED_RATE) -> DataFrame:
     """Stores every text as telephony audio and its resampled PCM in a table, reads both back and describes them.
 
     Null and empty texts become one block of zeros; repeated rows give repeated rows, equal texts equal values; texts
     may have any length; an empty table gives no rows; other columns are not read.
     """
-    return digest(stage(to_pcm(store_texts(docs), rate=rate), "media", compression="zstd"))
+    return digest(stage(to_pcm(store_texts(docs), rate=rate, packed=True), "media", compression="zstd", options={"parquet.compression.codec.zstd.level": str(ZSTD_LEVEL)}))
