@@ -71,3 +71,11 @@ def test_suffix_ranks_order_and_shrink(spark):
     two = {(r.did, r.ln): r.rank for r in levels[1].collect()}
     assert set(two) == {(0, 0), (0, 1), (1, 0), (1, 1)} and two[0, 0] == two[1, 0] < two[0, 1] == two[1, 1]
     assert levels[2].count() == 0
+
+
+def test_texts_meet_their_deleted_lines_alike_at_every_size(spark):
+    """A broadcast for small tables alone made disk jump with size."""
+    out = line_dedup.digest(docs_of(spark, ["a b c\nd e f", "a b c\nd e f\ng"]), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {r.doc_id: r.n_deleted for r in out.collect()} == {0: 0, 1: 2}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridex.llm.common import is_small, release, stage
+from veridex.llm.common import release, stage
 
 #: Words from which a repeated run of lines counts.
 MIN_WORDS = 50
@@ -111,8 +111,9 @@ def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(names)], F.col("doc_id"), F.col("text"))
     lines = deleted_lines(docs, min_words).select(F.col("did").alias("_did"), F.col("th").alias("_th"), "ln")
     gone = lines.groupBy("_did", "_th").agg(F.collect_set("ln").alias("_gone"))  # at most the lines of one document
+    # half of all documents may lose lines, so the texts are shuffled at every size: disk grows in proportion, no broadcast grows
     # lines are split once per document, before the expressions that use them many times
-    joined = _keyed(inner).join(F.broadcast(gone) if is_small(lines) else gone, ["_did", "_th"], "left").withColumn("_split", F.split("text", "\n"))
+    joined = _keyed(inner).join(gone.hint("merge"), ["_did", "_th"], "left").withColumn("_split", F.split("text", "\n"))
     split = F.col("_split")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone")), lambda i: F.get(split, i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
