@@ -128,3 +128,16 @@ def test_a_text_beyond_the_step_of_decompression(spark):
     text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz \n", k=5_000_000))
     r = warc.round_trip(spark.createDataFrame([(1, None, text)], "page_id long, url string, html string")).first()
     assert (r.payload_bytes, r.payload_digest) == (len(text), hashlib.sha1(text.encode()).hexdigest())
+
+
+def test_no_damaged_header_passes():
+    """Whatever byte of a member is damaged, a record that is returned is one that was written."""
+    one, two, three = rec(1, "first " * 30), rec(2, "second " * 30), rec(3)
+    for parts in ([one], [one, two]):
+        whole = warc.member(b"".join(parts))
+        written = [warc.parse_record(r, 0)[:2] for r in (*parts, three)]
+        for k in range(10, len(whole)):
+            broken = bytearray(whole)
+            broken[k] ^= 0xFF
+            records, gaps = warc.salvage(bytes(broken) + archive(three))
+            assert gaps and records[-1][1:] == written[-1] and all((h, b) in written for _, h, b in records), k

@@ -25,6 +25,8 @@ REVISIT_FROM = 1000
 ARCHIVE_BYTES = 4 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
+#: An extension header, the last one: the CRC-32 of the headers above it and the block, which payload digests don't cover.
+_CHECK = b"\r\nRecord-CRC32: "
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _STARTS = re.compile(rb"\x1f\x8b\x08|" + _VERSION.pattern)
 #: Compressed bytes that are decompressed at first and at most at once; around a fault in ever smaller steps.
@@ -50,7 +52,8 @@ def record(page_id, url: str | None, payload: bytes, refers_to: int | None = Non
     else:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: {digest}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + _END + block + _END
+    head = "\r\n".join(lines).encode()
+    return head + _CHECK + b"%08x" % zlib.crc32(block, zlib.crc32(head)) + _END + block + _END
 
 
 def member(data: bytes, level: int = 4) -> bytes:
@@ -129,6 +132,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if headers.get("warc-type") == "response" and digest.startswith("sha1:"):
         if digest[5:] != base64.b32encode(hashlib.sha1(payload_of(headers, block)).digest()).decode():
             raise BrokenRecord("payload digest differs")
+    check = data.rfind(_CHECK, at, stop)
+    if check >= 0 and data[check + len(_CHECK) : stop] != b"%08x" % zlib.crc32(block, zlib.crc32(data[at:check])):
+        raise BrokenRecord("record checksum differs")
     return headers, block, end + 4
 
 
@@ -184,6 +190,8 @@ def _at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int |
         return [(headers, block)], end, []
     plain, end, reason = _inflate(data, at)
     found, gaps = _records(plain)
+    if end is None and reason != "gzip: cut":
+        found = [(headers, block) for headers, block in found if "record-crc32" in headers]  # others may have damaged headers
     return found, end, [*[reason] * (end is None), *(f"bytes {b} to {e} of the member: {why}" for b, e, why in gaps)]
 
 
@@ -191,7 +199,8 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
     """Every valid record (place, headers, block) and every quarantined gap (begin, end, reason).
 
     A record in a member has the member's place. Of a member with a fault the valid records are kept, also those
-    before a cut; the gap is then the whole member and its reason says which decompressed bytes were passed over.
+    before a cut; the gap is then the whole member and its reason says which decompressed bytes were passed over. Where the
+    member's own checksum or codes are wrong, only records with a checksum of their own count, as all written here have.
     """
     records, gaps, at = [], [], 0
     while at < len(data):
