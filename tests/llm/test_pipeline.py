@@ -1,4 +1,5 @@
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -38,6 +39,35 @@ def test_each_stage_on_its_own_input(spark, sf):
         docs = spark.createDataFrame(rows, docs.schema)
 
 
+@pytest.mark.parametrize("name", ["quality", "near_copies", "pii", "packing"])
+def test_batches_to_workers_are_bounded(name, spark, sf):
+    from veridex.llm.common import BATCH_BYTES
+
+    key, row = "spark.sql.execution.arrow.maxBytesPerBatch", 50_000
+    docs = spark.range(100, numPartitions=1).selectExpr("id doc_id", f"repeat('word ', {row // 5}) text", "'s' source", "'en' lang", f"{row} n_chars")
+
+    def sizes():
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "k"])
+
+        return docs.mapInArrow(run, "size long, k long").collect()
+
+    try:
+        spark.conf.unset(key)
+        assert len(sizes()) == 1
+        found = dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), sf)
+        assert found.count() == 0
+        after = sizes()
+        assert max(r.size for r in after) <= BATCH_BYTES + 2 * row and sum(r.k for r in after) == 100
+        # a lower bound stays
+        spark.conf.set(key, "100k")
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), sf)
+        assert spark.conf.get(key) == "100k"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() > 50
 

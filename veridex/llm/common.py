@@ -18,6 +18,8 @@ SIMILARITY_PERCENT = 80
 STEP_BYTES = 4 << 20
 #: Rows and bytes of text up to which a counted table may be broadcast: some tens of MB in the driver.
 SMALL_ROWS, SMALL_BYTES = 300_000, 16 << 20
+#: Bytes of a record batch on its way to a Python worker, or one row; Spark's own bound is 64 MB, and executor and worker hold a batch several times.
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,15 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTE
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session's record batches end at BATCH_BYTES, also those of frames that run later; a lower bound of its own stays.
+
+    Every row still goes to the workers, in more batches.
+    """
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Python and the JVM drop what nothing refers to any more, so that Spark removes its shuffle files and broadcasts too."""
     gc.collect()
